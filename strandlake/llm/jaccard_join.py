@@ -2,24 +2,24 @@
 
 Documents with equal shingle sets are one node. Of each node only its prefix travels: the rarest
 tokens, so many that two similar sets must share one (Chaudhuri et al. 2006). A first round links each
-token's nodes to one leader and verifies these few pairs; the resulting components are the groups of
-similar documents. The token-group matrix then holds, per token and group, bounds over the group's
-members (sizes, positions); a query node opens a group of another component only where the bound on
-their overlap allows the threshold, and is compared with the members it cannot rule out.
+token's nodes to one leader and verifies these few pairs; the resulting components, and the nodes that
+have a leader but no link, are the groups of similar documents. The token-group matrix then holds, per
+token and group, bounds over the group's members (sizes, positions, components); a query node opens a
+group only where the bound on their overlap allows a link to another component. An opened group stores
+the union of its members' tokens: a query that shares too few of them is done, and the others get their
+overlaps with all members at once.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Stored, parts
-from strandlake.llm.components import components
+from strandlake.llm.common import Stored, parts, text_bytes
+from strandlake.llm.components import components, local_roots
 from strandlake.llm.embedding_dedup import keyed_runs
 
 WORDS = 5
@@ -27,7 +27,8 @@ WORDS = 5
 NUM, DEN = 4, 5
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SKETCH_BITS, SLICES = 20, 64
+SLICES = 64
+BLOCK = 256
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -60,53 +61,58 @@ def prefix_length(n: int) -> int:
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if NUM * max(len(a), len(b)) > DEN * min(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return common * DEN >= NUM * (len(a) + len(b) - common)
+def sketch_bits(n_bytes: int) -> int:
+    """Size of the table of token counts: about 32 tokens an entry, 2**24 entries at most."""
+    return min(24, max(12, (n_bytes // (6 * 32)).bit_length()))
+
 
+def slots(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
-def _sets(docs: DataFrame) -> Stored:
+
+def _sets(docs: DataFrame, bits: int) -> Stored:
     """kind 0: doc_id, n, node of each document; kind 1: a scan partition's token counts, in slices."""
 
     def run(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             n, node = [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text)
                 n.append(len(tokens))
                 node.append(node_of(tokens) if len(tokens) else None)
-                np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, slots(tokens, bits), 1)
             size = len(n)
             yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([None] * size, pa.binary())], names=["kind", "doc_id", "n", "node", "counts"])
         if counts.any():
-            rows = [r.tobytes() for r in counts.reshape(SLICES, -1)]
+            rows = [r.tobytes() for r in np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)]
             yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), pa.array([0] * SLICES, pa.int64()), pa.array([None] * SLICES, pa.int64()), pa.array(rows, pa.binary())], names=["kind", "doc_id", "n", "node", "counts"])
 
     return Stored(docs.mapInArrow(run, "kind int, doc_id long, n long, node long, counts binary"), "sets")
 
 
-def _rarity(stored: DataFrame) -> np.ndarray:
-    """Order classes of tokens by document count: a table of fixed size (1 MB), summed by slice."""
+def _rarity(stored: DataFrame, bits: int) -> np.ndarray:
+    """Order classes of tokens by document count: a table of bounded size (16 MB), summed by slice.
+
+    A partition's counts are cut at 65,535: any order of tokens gives the same result.
+    """
 
     def add(key, t):
-        total = sum(np.frombuffer(r, np.uint32).astype(np.uint64) for r in t.column("counts").to_pylist())
+        total = sum(np.frombuffer(r, np.uint16).astype(np.uint64) for r in t.column("counts").to_pylist())
         level = np.minimum(8 * np.log2(1 + total.astype(float)), 255).astype(np.uint8)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "level": pa.array([level.tobytes()], pa.binary())})
 
     rows = stored.where("kind = 1").select(F.col("doc_id").alias("slice"), "counts").groupBy("slice").applyInArrow(add, "slice long, level binary").collect()
     by = {r["slice"]: bytes(r["level"]) for r in rows}
-    empty = bytes((1 << SKETCH_BITS) // SLICES)
+    empty = bytes((1 << bits) // SLICES)
     return np.frombuffer(b"".join(by.get(s, empty) for s in range(SLICES)), np.uint8)
 
 
 def _messages(docs: DataFrame, rarity: np.ndarray, buckets: int) -> DataFrame:
     """Prefixes of distinct sets, packed per bucket of tokens: token, node, size, position."""
 
+    bits = len(rarity).bit_length() - 1
+
     def flush(tokens, node, size):
         token = np.concatenate(tokens)
         lens = [len(t) for t in tokens]
@@ -134,7 +140,7 @@ def _messages(docs: DataFrame, rarity: np.ndarray, buckets: int) -> DataFrame:
                 if key is None or not len(t) or (name := node_of(t)) in seen:
                     continue
                 seen.add(name)
-                level = rarity[(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                level = rarity[slots(t, bits)]
                 p = prefix_length(len(t))
                 tokens.append(t[np.argsort(level, kind="stable")[:p]])
                 node.append(name)
@@ -178,15 +184,16 @@ def _lists(messages: DataFrame, n: int) -> DataFrame:
             lead = np.repeat(first, count)
             length = np.repeat(count, count)
             both = np.flatnonzero((lead != np.arange(len(lead))) & _possible(size[lead], pos[lead], size, pos))
-            pairs = np.unique(np.stack([node[lead[both]], node[both]], axis=1), axis=0)
+            pairs, which = np.unique(np.stack([node[lead[both]], node[both]], axis=1), axis=0, return_inverse=True)
+            only, many = (np.bincount(which.ravel(), part, len(pairs)).astype(np.int64) for part in (length[both] == 2, length[both] > 2))
             rest = np.flatnonzero(length > 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.r_[np.zeros(len(pairs), np.int32), np.ones(len(rest), np.int32)].astype(np.int32)),
                     pa.array(np.r_[pairs[:, 0], token[rest].view(np.int64)]),
                     pa.array(np.r_[pairs[:, 1], node[rest]]),
-                    pa.array(np.r_[np.zeros(len(pairs), np.int64), size[rest]]),
-                    pa.array(np.r_[np.zeros(len(pairs), np.int64), pos[rest]]),
+                    pa.array(np.r_[only, size[rest]]),
+                    pa.array(np.r_[many, pos[rest]]),
                 ],
                 names=["kind", "a", "b", "size", "pos"],
             )
@@ -201,19 +208,63 @@ def _possible(n, i, m, j):
     return (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m)) & (most >= need)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+def overlaps(members: list[np.ndarray], query: np.ndarray, union: np.ndarray, heads: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Common tokens of a query with each member, through the group's union of tokens.
+
+    ``owners[heads[k]:heads[k + 1]]`` are the members that hold the union's token k.
+    """
+    at = np.minimum(np.searchsorted(union, query), len(union) - 1)
+    at = at[union[at] == query]
+    if NUM * len(query) > DEN * len(at):  # the bound: no member shares more than the union does
+        return np.zeros(len(members), np.int64)
+    lens = heads[at + 1] - heads[at]
+    places = np.repeat(heads[at] - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum())
+    return np.bincount(owners[places], minlength=len(members))
+
+
+def _compared(opens: DataFrame, members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Edges between queries and similar members of the groups they open: opens (g, q), members (g, x).
+
+    Groups and their queries are cut into blocks of about ``BLOCK``; each pair of blocks meets once, with
+    whole texts, and is compared through its union of tokens. A block gives a forest of its links.
+    """
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
+    size = opens.groupBy("g").agg(F.count("*").alias("nq")).join(members.groupBy("g").agg(F.count("*").alias("nm")), "g")
+    size = size.select("g", blocks("nq").alias("qs"), blocks("nm").alias("ms"))
+    place = lambda c, k: F.pmod(F.xxhash64(c), F.col(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    left = opens.join(size, "g").select("g", place("q", "qs").alias("i"), every("ms").alias("j"), F.lit(1).alias("role"), F.col("q").alias("node"))
+    right = members.join(size, "g").select("g", every("qs").alias("i"), place("x", "ms").alias("j"), F.lit(0).alias("role"), F.col("x").alias("node"))
+    rows = left.union(right).join(texts, "node").select("g", "i", "j", "role", "node", "text")
 
     def run(batches):
-        tokens = lru_cache(maxsize=256)(shingles)
-        for batch in batches:
-            a, b, ta, tb = (batch.column(i) for i in range(4))
-            ok = [similar(tokens(x), tokens(y)) for x, y in zip(ta.to_pylist(), tb.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for group in keyed_runs(batches, 3):
+            role, node = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in group]) for c in (3, 4))
+            text = [t for b in group for t in b.column(5).to_pylist()]
+            inner = [k for k in range(len(role)) if role[k] == 0]
+            sets = [shingles(text[k]) for k in inner]
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            order = np.argsort(flat, kind="stable")
+            union, heads = np.unique(flat[order], return_index=True)
+            heads, owner = np.r_[heads, len(flat)], owner[order]
+            sizes, names = np.array([len(x) for x in sets]), node[inner]
+            links: list[tuple[int, int]] = []
+            for k in range(len(role)):
+                if role[k] == 0 or not len(union):
+                    continue
+                query = shingles(text[k])
+                common = overlaps(sets, query, union, heads, owner)
+                hit = DEN * common >= NUM * (len(query) + sizes - common)
+                links += [(int(node[k]), int(x)) for x in names[hit] if x != node[k]]
+            if links:
+                ends = np.array(links)
+                nodes, roots = local_roots(ends[:, 0], ends[:, 1])
+                other = nodes != roots
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(roots[other])], names=["a", "b"])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -225,44 +276,59 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     repeat its result. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    done: list[Stored] = []
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        done.append(Stored(df, name))
+        return done[-1].df
+
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    stored = _sets(docs).df
+    bits = sketch_bits(text_bytes(docs))
+    stored = _sets(docs, bits).df
     sets = stored.where("kind = 0").select("doc_id", "n", "node")
     reps = Stored(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps").df
     entries = (sets.agg(F.sum("n")).first()[0] or 0) / DEN
     n = parts(spark, entries, 500_000)
-    lists = Stored(_lists(_messages(docs, _rarity(stored), 4 * n), n), "lists").df
+    lists = store(_lists(_messages(docs, _rarity(stored, bits), 4 * n), n), "lists")
     first = lists.where("kind = 0").select("a", "b").distinct()
     rest = lists.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "pos")
     wanted = first.select("a").union(first.select("b")).union(rest.select("node")).distinct().withColumnRenamed("a", "node")
     wanted = wanted.join(reps, "node").select("node", F.col("rep").alias("doc_id"))
     found = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
-    texts = Stored(found.groupBy("node").agg(F.first("text").alias("text")), "texts").df
-    edges = Stored(_verified(first, texts), "edges")
-    groups = Stored(components(edges.df), "groups").df
-
-    # The matrix: members by token and group, groups with their bounds, queries against smaller groups.
-    member = rest.join(groups, "node", "left").select("token", "node", "size", "pos", F.coalesce("component", "node").alias("g"))
-    several = member.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
-    member = Stored(member.join(several, "token"), "matrix").df
+    texts = store(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    opens = first.select(F.col("a").alias("g"), F.col("b").alias("q"))
+    leaders = opens.select("g").distinct().select("g", F.col("g").alias("x"))
+    labels = store(components(store(_compared(opens, leaders, texts, n), "links")), "labels")
+
+    # Groups: components so far; a node without one goes to the group of its smallest leader.
+    home = opens.groupBy(F.col("q").alias("node")).agg(F.min("g").alias("home"))
+    of_home = labels.select(F.col("node").alias("home"), F.col("component").alias("of_home"))
+    group = rest.select("node").distinct().join(labels, "node", "left").join(home, "node", "left").join(of_home, "home", "left")
+    group = group.select("node", F.coalesce("component", "node").alias("label"), F.coalesce("component", "of_home", "home", "node").alias("g"))
+    group = store(group, "grouped")
+    member = rest.join(group, "node")
+    several = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    member = store(member.join(several, "token"), "matrix")
     tail = F.col("size") - F.col("pos") - 1
-    matrix = member.groupBy("token", "g").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("pos").alias("far"), F.max(tail).alias("tail"))
-    query = member.select("token", F.col("node").alias("q"), F.col("size").alias("qn"), F.col("pos").alias("qi"), F.col("g").alias("qg"))
+    bounds = {"least": F.min("size"), "most": F.max("size"), "far": F.max("pos"), "tail": F.max(tail), "lo": F.min("label"), "hi": F.max("label")}
+    matrix = member.groupBy("token", "g").agg(*[v.alias(k) for k, v in bounds.items()])
+    query = member.select("token", F.col("node").alias("q"), F.col("size").alias("qn"), F.col("pos").alias("qi"), F.col("g").alias("qg"), F.col("label").alias("ql"))
     fits = (NUM * F.col("qn") <= DEN * F.col("most")) & (NUM * F.col("least") <= DEN * F.col("qn"))
+    other = (F.col("lo") != F.col("ql")) | (F.col("hi") != F.col("ql"))
     bound = F.least("qi", "far") + 1 + F.least(F.col("qn") - F.col("qi") - 1, F.col("tail"))
     needed = F.ceil(NUM * (F.col("qn") + F.greatest(F.col("least"), NUM * F.col("qn") / DEN)) / (NUM + DEN) - F.lit(1e-6))
-    opened = query.join(matrix, "token").where((F.col("g") < F.col("qg")) & fits & (bound >= needed)).select("token", "q", "qn", "qi", "g")
-    pair = opened.join(member, ["token", "g"])
-    need = F.ceil(NUM * (F.col("qn") + F.col("size")) / (NUM + DEN) - F.lit(1e-6))
-    most = F.least("qi", "pos") + 1 + F.least(F.col("qn") - F.col("qi") - 1, tail)
-    sized = NUM * F.greatest("qn", "size") <= DEN * F.least("qn", "size")
-    pair = pair.where(sized & (most >= need)).select(F.col("q").alias("a"), F.col("node").alias("b")).distinct()
-    more = Stored(_verified(Stored(pair, "opened").df, texts), "more")
-    if not more.df.isEmpty():
-        groups = components(more.df.union(groups.select("node", "component")))
+    opened = query.join(matrix, "token").where((F.col("g") <= F.col("qg")) & fits & other & (bound >= needed)).select("g", "q").distinct()
+    opened = store(opened, "opened")
+    inside = group.select("g", F.col("node").alias("x")).join(opened.select("g").distinct(), "g")
+    more = store(_compared(opened, inside, texts, n), "more")
+    groups = labels
+    if not more.isEmpty():
+        groups = components(more.union(labels.select("node", "component")))
     named = reps.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("g"))
     low = named.groupBy("g").agg(F.min("rep").alias("component_id"))
     named = Stored(named.join(low, "g").select("node", "component_id"), "named").df
+    for x in done:
+        x.drop()
     out = sets.join(named, "node", "left")
     found_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), found_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
