@@ -429,15 +429,18 @@ def spans(packed: list[bytes]) -> list[tuple[int, int]]:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone: packed ranges of the windows that also start earlier) of documents that have some."""
+    """Stored (doc_id, gone: packed ranges of the windows that also start earlier) of documents that have some."""
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).where("doc_id is not null and text is not null")
     n = parts(spark, text_bytes(docs), 24e6)
-    ranges = Stored(_classes(_anchors(docs, 4 * n), n), "ranges").df
-    opened = ranges.where(f"kind = {OPEN}")
-    more = Stored(_merged(_snippets(docs, opened, 4 * n), n), "merged").df
-    found = ranges.where(f"kind = {REPEAT}").select("doc_id", "ranges").union(more)
-    return found.groupBy("doc_id").agg(F.collect_list("ranges").alias("gone"))
+    ranges = Stored(_classes(_anchors(docs, 4 * n), n), "ranges")
+    opened = ranges.df.where(f"kind = {OPEN}")
+    more = Stored(_merged(_snippets(docs, opened, 4 * n), n), "merged")
+    found = ranges.df.where(f"kind = {REPEAT}").select("doc_id", "ranges").union(more.df)
+    gone = Stored(found.groupBy("doc_id").agg(F.collect_list("ranges").alias("gone")), "gone").df
+    ranges.drop()
+    more.drop()
+    return gone
 
 
 def remaining(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
@@ -456,7 +459,7 @@ def suffix_digest(docs: DataFrame) -> DataFrame:
     documents, or an earlier place of either text, hold. Other columns are ignored; an empty table
     gives no rows.
     """
-    gone = Stored(repeated_ranges(docs), "gone").df
+    gone = repeated_ranges(docs)
 
     def run(batches):
         for batch in batches:
@@ -477,7 +480,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
     A document that loses its whole text stays with an empty one.
     """
-    gone = Stored(repeated_ranges(docs), "gone").df.withColumnRenamed("doc_id", "gone_id")
+    gone = repeated_ranges(docs).withColumnRenamed("doc_id", "gone_id")
 
     @F.pandas_udf("string")
     def cut(text, packed):  # noqa: ANN001, ANN202
