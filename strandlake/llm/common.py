@@ -74,7 +74,7 @@ def parts(spark: SparkSession, units: float, per_part: float) -> int:
     return max(least, int(units // per_part) + 1)
 
 
-def slices(texts: list[str], most: int = 2_000_000) -> Iterator[list[int]]:
+def slices(texts: list[str], most: int = 1_000_000) -> Iterator[list[int]]:
     """Indices of consecutive texts, about ``most`` characters together: bounds working memory."""
     part: list[int] = []
     size = 0

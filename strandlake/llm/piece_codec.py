@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from strandlake.llm.common import slices
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 CACHE_PAIRS = 1_000_000
 SPACE = "▁"
 #: No piece goes on from another character into a space, and none holds a line feed: merges stay inside these.

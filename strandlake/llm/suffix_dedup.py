@@ -26,7 +26,7 @@ from strandlake.llm.common import Stored, parts, text_bytes
 from strandlake.llm.embedding_dedup import keyed_runs
 
 LENGTH, STEP, K = 100, 25, 28
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 LETTER = np.random.default_rng(100).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)

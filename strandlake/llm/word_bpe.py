@@ -17,7 +17,7 @@ import regex
 from tokenizers import Tokenizer
 
 NONE = np.int64(1) << 40
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 #: Beyond these characters, case mapping and composition are left to the tokenizer's own normaliser.
 PLAIN = re.compile(r"[^\x00-\x1b\x20-ɏ]")
 
