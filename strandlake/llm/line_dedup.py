@@ -116,6 +116,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
                 rows.append(("\n".join(kept), len(lines), len(lines) - len(kept), len(drop)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
+    apply = apply.asNondeterministic()  # else a filter on its results runs it a second time
     names = docs.columns
     done = joined.withColumn("done__", apply(docs["text"], gone["gone"]))
     return done.select(*[F.col("done__.text").alias(c) if c == "text" else docs[c] for c in names], "done__.n_lines", "done__.n_removed_lines", "done__.n_removed_chunks")

@@ -502,5 +502,6 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             out.append(remaining(raw, whole).decode())
         return pd.Series(out, dtype=object)
 
+    cut = cut.asNondeterministic()  # else a filter on the text runs it a second time
     joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["gone_id"], "left")
     return joined.select(*[cut(docs["text"], gone["gone"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
