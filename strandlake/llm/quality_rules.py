@@ -102,8 +102,8 @@ def ablations(rows: DataFrame, version: str) -> DataFrame:
 
 ORACLE = r"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS words,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 g AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS tri
       FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, tri) > 1),
