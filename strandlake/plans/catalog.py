@@ -1,2 +1,586 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over the driver's tables, one per operator family, and DuckDB SQL for those that have it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandlake.functions import costs, metrics, prompts, similarity, text, vectors
+from strandlake.operators import chunking, evaluate, knn, overlap, placement, rag, records, reorder, tree
+from strandlake.sources import jsonl
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def baskets(spark: SparkSession, sf: str, modulo: int | None = None) -> DataFrame:
+    """idx, doc_ids: the parts of each order in line order."""
+    part = F.col("l_partkey") if modulo is None else F.col("l_partkey") % modulo
+    lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", part.cast("long").alias("p"))
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "p")))
+    return lines.groupBy(F.col("l_orderkey").alias("idx")).agg(F.transform(ordered, lambda s: s["p"]).alias("doc_ids"))
+
+
+B = "lists AS (SELECT l_orderkey AS idx, list(CAST(l_partkey AS BIGINT) ORDER BY l_linenumber, l_partkey) AS doc_ids FROM lineitem GROUP BY l_orderkey)"
+B50 = "lists AS (SELECT l_orderkey AS idx, list(CAST(l_partkey % 50 AS BIGINT) ORDER BY l_linenumber, l_partkey % 50) AS doc_ids FROM lineitem GROUP BY l_orderkey)"
+
+
+def neighbours(spark: SparkSession, sf: str, k: int, metric: str) -> DataFrame:
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return knn.knn(e.where("id % 100 = 0").withColumnRenamed("id", "qid"), e, k, metric)
+
+
+def knn_sql(metric: str, k: int) -> str:
+    d = {
+        "l2": "list_sum(list_transform(list_zip(q.v, x.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))",
+        "cosine": "1 - list_cosine_similarity(q.v, x.v)",
+    }[metric]
+    return f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    d AS (SELECT q.id AS qid, x.id AS id, round({d}, 9) AS dist FROM e q, e x WHERE q.id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d)
+    SELECT qid, CAST(rank AS INTEGER) AS rank, id, dist FROM r WHERE rank <= {k}"""
+
+
+@query(knn_sql("l2", 10))
+def knn_l2_top10(spark, sf):
+    return neighbours(spark, sf, 10, "l2")
+
+
+@query(knn_sql("cosine", 10))
+def knn_cosine_top10(spark, sf):
+    return neighbours(spark, sf, 10, "cosine")
+
+
+@query(f"SELECT qid, list(id ORDER BY rank) AS doc_ids FROM ({knn_sql('cosine', 20)}) GROUP BY qid")
+def batch_topk_lists(spark, sf):
+    return knn.topk_lists(neighbours(spark, sf, 20, "cosine"))
+
+
+@query(f"SELECT k, qid, list(id ORDER BY rank) AS doc_ids FROM ({knn_sql('l2', 3)}) t, (SELECT unnest([1, 3]) AS k) s WHERE rank <= k GROUP BY k, qid")
+def topk_sweep(spark, sf):
+    most = neighbours(spark, sf, 3, "l2")
+    return knn.topk_lists(most, 1).withColumn("k", F.lit(1)).unionByName(knn.topk_lists(most, 3).withColumn("k", F.lit(3)))
+
+
+@query(
+    """WITH p AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)
+    SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM p GROUP BY label, pos"""
+)
+def pool_mean_by_label(spark, sf):
+    e = read(spark, sf, "embeddings").select("label", F.posexplode(vectors.doubles(F.col("embedding"))).alias("pos", "x"))
+    return e.groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("mean"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, label % 8 + 1 AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    p AS (SELECT vec_id, n, v, unnest(range(8)) AS pos FROM e)
+    SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v[pos + 1], 6) AS cls,
+      round(CASE WHEN n = 8 THEN v[56 + pos + 1] ELSE v[(n - 1) * 8 + pos + 1] END, 6) AS last,
+      round(list_sum(list_transform(range(n), lambda t: v[t * 8 + pos + 1])) / n, 6) AS mean FROM p"""
+)
+def pool_variants(spark, sf):
+    """Each vector read as 8 token vectors of 8, of which label % 8 + 1 are attended."""
+    v = vectors.doubles(F.col("embedding"))
+    e = read(spark, sf, "embeddings").select("vec_id", (F.col("label") % 8 + 1).alias("n"), v.alias("v"))
+    e = e.withColumn("h", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8)))
+    e = e.withColumn("mask", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i < F.col("n"), 1.0).otherwise(0.0)))
+    h, m = F.col("h"), F.col("mask")
+    zipped = F.arrays_zip(vectors.cls_pool(h).alias("cls"), vectors.last_token_pool(h, m).alias("last"), vectors.mean_pool(h, m).alias("mean"))
+    e = e.select("vec_id", F.posexplode(zipped).alias("pos", "z"))
+    return e.select("vec_id", "pos", *[F.round(F.col("z")[c], 6).alias(c) for c in ("cls", "last", "mean")])
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm, CAST(1 AS DOUBLE) AS norm_after FROM embeddings")
+def normalized_norms(spark, sf):
+    v = vectors.doubles(F.col("embedding"))
+    e = read(spark, sf, "embeddings").select("vec_id", v.alias("v"), vectors.norm(v).alias("n"))
+    e = e.select("vec_id", "n", F.transform("v", lambda x: x / F.greatest(F.col("n"), F.lit(1e-12))).alias("u"))
+    return e.select("vec_id", F.round("n", 6).alias("norm"), F.round(vectors.norm(F.col("u")), 6).alias("norm_after"))
+
+
+@query(
+    f"""WITH {B}, s AS (SELECT idx, list_distinct(doc_ids) AS c FROM lists), i AS (SELECT idx, len(c) AS n, unnest(c) AS doc FROM s),
+    p AS (SELECT a.idx AS i, b.idx AS j, a.n AS ni, b.n AS nj, count(*) AS same_items FROM i a JOIN i b ON a.doc = b.doc AND a.idx < b.idx GROUP BY ALL),
+    x AS (SELECT i, j, same_items, same_items / CAST(greatest(ni, nj) AS DOUBLE) AS direct FROM p),
+    y AS (SELECT *, direct * direct AS square, least(1.0, greatest(0.0, (exp(2 * direct * direct) - 1) / (exp(2.0) - 1))) AS sharp FROM x)
+    SELECT i, j, same_items, round(direct, 9) AS direct, round(square, 9) AS square, round(sharp, 9) AS sharp, round(greatest(0.0, 1 - sharp), 9) AS dist FROM y"""
+)
+def basket_overlap(spark, sf):
+    p = overlap.pair_overlap(baskets(spark, sf))
+    return p.select("i", "j", "same_items", *[F.round(c, 9).alias(c) for c in ("direct", "square", "sharp", "dist")])
+
+
+@query(f"WITH {B50} SELECT list_sort(list_distinct(doc_ids)) AS content, min(idx) AS first_idx, count(*) AS frequency, list_sort(list(idx)) AS members FROM lists GROUP BY 1")
+def content_dedup_frequency(spark, sf):
+    return overlap.dedup_frequency(baskets(spark, sf, 50))
+
+
+@query("SELECT p_partkey AS doc, count(l_partkey) AS frequency FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY p_partkey")
+def doc_frequency(spark, sf):
+    return overlap.doc_frequency(baskets(spark, sf), read(spark, sf, "part").select(F.col("p_partkey").alias("doc")))
+
+
+def reuse_sql(p: int) -> str:
+    return f"WITH {B50} SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS reuses FROM (SELECT count(*) AS c FROM lists GROUP BY doc_ids[1:{p}])"
+
+
+@query(reuse_sql(1))
+def prefix_reuse_count_p1(spark, sf):
+    return overlap.prefix_reuse(baskets(spark, sf, 50), 1)
+
+
+@query(reuse_sql(2))
+def prefix_reuse_count_p2(spark, sf):
+    return overlap.prefix_reuse(baskets(spark, sf, 50), 2)
+
+
+LCP = "coalesce(list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[1:k] = b[1:k])), 0)"
+GROUPS = f"""WITH {B50}, s AS (SELECT *, doc_ids[1] AS g, min(idx) OVER (PARTITION BY doc_ids[1]) AS seed, count(*) OVER (PARTITION BY doc_ids[1]) AS members FROM lists),
+    w AS (SELECT s.*, t.doc_ids AS a, s.doc_ids AS b FROM s JOIN lists t ON s.seed = t.idx),
+    l AS (SELECT *, CASE WHEN idx <> seed THEN {LCP} END AS lcp FROM w),
+    g AS (SELECT *, coalesce(max(lcp) OVER (PARTITION BY g), 0) AS strength, row_number() OVER (PARTITION BY g ORDER BY len(doc_ids) DESC, doc_ids, idx) AS in_group FROM l)"""
+
+
+@query(f"{GROUPS} SELECT idx, seed, members, CAST(strength AS INTEGER) AS strength, CAST(in_group AS INTEGER) AS in_group FROM g")
+def prefix_groups(spark, sf):
+    return reorder.prefix_groups(baskets(spark, sf, 50)).select("idx", "seed", "members", "strength", "in_group")
+
+
+@query(
+    f"""{GROUPS}, i AS (SELECT g, members, idx, unnest(list_distinct(doc_ids)) AS doc FROM g),
+    c AS (SELECT g, list_sort(list(doc)) AS common FROM (SELECT g, members, doc FROM i GROUP BY ALL HAVING count(*) = members) GROUP BY g),
+    h AS (SELECT g, strength, min(seed) AS seed, count(*) AS n, list(doc_ids ORDER BY in_group)[1] AS head FROM g GROUP BY g, strength),
+    o AS (SELECT g, sum(n) OVER (ORDER BY strength DESC, head, seed) - n AS start FROM h)
+    SELECT idx, CASE WHEN members > 1 THEN list_concat(common, list_sort(list_filter(doc_ids, lambda x: NOT list_contains(common, x)))) ELSE doc_ids END AS new_ids,
+      CAST(start + in_group - 1 AS BIGINT) AS new_pos FROM g LEFT JOIN c USING (g) JOIN o USING (g)"""
+)
+def lcp_rewrite(spark, sf):
+    return reorder.placed(reorder.rewrite(baskets(spark, sf, 50))).select("idx", "new_ids", F.col("new_pos").cast("long").alias("new_pos"))
+
+
+def numbered(spark, sf) -> DataFrame:
+    c = read(spark, sf, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("position"), "role", "text")
+
+
+@query("SELECT position, role, text, min(ord) AS new_position FROM (SELECT conv_id * 1000 + turn AS position, role, text, turn * 100000 + conv_id AS ord FROM conversations WHERE role = 'user') GROUP BY ALL")
+def reorder_by_index(spark, sf):
+    rows = numbered(spark, sf)
+    i = read(spark, sf, "conversations").where("role = 'user'").select((F.col("turn") * 100000 + F.col("conv_id")).alias("ord"), (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"))
+    return reorder.reorder_rows(rows, i)
+
+
+@query("SELECT conv_id * 1000 + turn AS position, role, text, conv_id * 1000 + turn AS new_position FROM conversations")
+def reorder_invalid_index(spark, sf):
+    rows = numbered(spark, sf)
+    i = rows.select(F.col("position").alias("ord"), (-F.col("position") - 1).alias("idx"))
+    return reorder.reorder_rows(rows, i)
+
+
+@query("SELECT d.doc_id, l.quality, l.toxic, d.lang, d.n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
+def combine_inner(spark, sf):
+    left = read(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "lang", "n_chars")
+    right = read(spark, sf, "labels").withColumnRenamed("doc_id", "question_id")
+    return records.combine(left, right).withColumnRenamed("qid", "doc_id").select("doc_id", "quality", "toxic", "lang", "n_chars")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def combine_unmatched(spark, sf):
+    return records.unmatched(read(spark, sf, "labels").select(F.col("doc_id").alias("known")), read(spark, sf, "documents").select("doc_id", "lang"), "known", "doc_id")
+
+
+@query("SELECT position, role, CAST(floor(position / 4) AS BIGINT) AS batch FROM (SELECT conv_id * 1000 + turn AS position, role FROM conversations)")
+def fixed_batches(spark, sf):
+    return records.batches(numbered(spark, sf).select("position", "role"))
+
+
+NORM = r"list_filter(string_split_regex(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
+
+
+def norm_sql(column: str) -> str:
+    return NORM.format(column)
+
+
+@query(f"SELECT doc_id, array_to_string({norm_sql('text')}, ' ') AS normalized FROM documents")
+def normalize_text(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.normalize_answer(F.col("text")).alias("normalized"))
+
+
+@query(f"SELECT item_id, array_to_string({norm_sql('text').replace(', ' + chr(39) + 'a' + chr(39) + ', ' + chr(39) + 'an' + chr(39) + ', ' + chr(39) + 'the' + chr(39), '')}, ' ') AS normalized FROM benchmark")
+def normalize_evidence(spark, sf):
+    return read(spark, sf, "benchmark").select("item_id", text.normalize_evidence(F.col("text")).alias("normalized"))
+
+
+def turns(spark, sf) -> DataFrame:
+    """Assistant turns as predictions, the turn before each as gold."""
+    c = read(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return c.withColumn("gold", F.lag("text").over(w)).where("role = 'assistant' AND gold IS NOT NULL").select("conv_id", "turn", F.col("text").alias("pred"), "gold")
+
+
+TURNS = "turns AS (SELECT * FROM (SELECT conv_id, turn, role, text AS pred, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS gold FROM conversations) WHERE role = 'assistant' AND gold IS NOT NULL)"
+SCORES = f"""tok AS (SELECT *, {norm_sql('pred')} AS p, {norm_sql('gold')} AS g FROM pairs),
+    num AS (SELECT *, array_to_string(p, ' ') AS np, array_to_string(g, ' ') AS ng, coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda y: y = t)), len(list_filter(g, lambda y: y = t))))), 0) AS c FROM tok),
+    com AS (SELECT *, CASE WHEN (np IN ('yes', 'no', 'noanswer') OR ng IN ('yes', 'no', 'noanswer')) AND np <> ng THEN 0 ELSE c END AS common FROM num),
+    scored AS (SELECT *, CAST(np = ng AS DOUBLE) AS em, CASE WHEN common = 0 THEN 0.0::DOUBLE ELSE common / CAST(len(p) AS DOUBLE) END AS precision, CASE WHEN common = 0 THEN 0.0::DOUBLE ELSE common / CAST(len(g) AS DOUBLE) END AS recall FROM com),
+    full_ AS (SELECT *, CASE WHEN common = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM scored)"""
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
+
+@query(f"WITH {TURNS}, pairs AS (SELECT * FROM turns), {SCORES} SELECT conv_id, turn, round(em, 9) AS em, round(f1, 9) AS f1, round(precision, 9) AS precision, round(recall, 9) AS recall FROM full_")
+def token_f1(spark, sf):
+    return rounded(evaluate.answer_rows(turns(spark, sf)).select("conv_id", "turn", "em", "f1", "precision", "recall"), "em", "f1", "precision", "recall")
+
+
+GOLDS = "pairs AS (SELECT t.conv_id, t.turn, t.pred, u.text AS gold FROM turns t JOIN conversations u ON t.conv_id = u.conv_id AND u.role = 'user')"
+
+
+def golds(spark, sf) -> DataFrame:
+    users = read(spark, sf, "conversations").where("role = 'user'").select("conv_id", F.col("text").alias("gold"))
+    return turns(spark, sf).drop("gold").join(users, "conv_id").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+
+
+BEST = f"WITH {TURNS}, {GOLDS}, {SCORES}, best AS (SELECT conv_id * 1000 + turn AS key, max(em) AS em, max(f1) AS f1, max(precision) AS precision, max(recall) AS recall FROM full_ GROUP BY 1)"
+
+
+@query(f"{BEST} SELECT key, round(em, 9) AS em, round(f1, 9) AS f1, round(precision, 9) AS precision, round(recall, 9) AS recall FROM best")
+def f1_max_over_golds(spark, sf):
+    return rounded(evaluate.best_of_golds(golds(spark, sf), "key"), "em", "f1", "precision", "recall")
+
+
+@query(f"""{BEST} SELECT count(*) AS n, {', '.join(f'round(100 * sum(coalesce({m}, 0)) / count(*), 6) AS {m}' for m in ('em', 'f1', 'precision', 'recall'))}
+    FROM (SELECT conv_id * 1000 + turn AS key FROM conversations) c LEFT JOIN best USING (key)""")
+def corpus_metrics(spark, sf):
+    gold = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"))
+    return evaluate.corpus_metrics(gold, evaluate.best_of_golds(golds(spark, sf), "key"), "key")
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey AS k, upper(l_returnflag) AS t, l_linenumber AS s, bool_or(l_quantity < 30) AS p, bool_or(l_quantity > 10) AS g FROM lineitem GROUP BY ALL),
+    a AS (SELECT k, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (g AND NOT p) AS fn FROM i GROUP BY k),
+    b AS (SELECT k, CAST(fp + fn = 0 AS DOUBLE) AS em, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END AS recall FROM a)
+    SELECT k, em, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1, round(precision, 9) AS precision, round(recall, 9) AS recall FROM b"""
+)
+def sp_metrics(spark, sf):
+    """Supporting facts (flag, line) of an order: predicted under one quantity, gold above another."""
+    fact = F.struct(F.upper("l_returnflag").alias("title"), F.col("l_linenumber").alias("sent"))
+    o = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.when(F.col("l_quantity") < 30, fact)).alias("pred"), F.collect_list(F.when(F.col("l_quantity") > 10, fact)).alias("gold"))
+    return rounded(o.select("k", metrics.supporting_facts(F.col("pred"), F.col("gold")).alias("s")).select("k", "s.em", "s.f1", "s.precision", "s.recall"), "f1", "precision", "recall")
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey AS k, l_linenumber AS n, bool_or(l_quantity < 30) AS p, bool_or(l_quantity > 10) AS g FROM lineitem GROUP BY ALL),
+    a AS (SELECT k, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p) AS np, count(*) FILTER (g) AS ng FROM i GROUP BY k),
+    b AS (SELECT k, CAST(tp = np AND tp = ng AS DOUBLE) AS em, CASE WHEN np > 0 THEN tp / CAST(np AS DOUBLE) ELSE 0 END AS precision, CASE WHEN ng > 0 THEN tp / CAST(ng AS DOUBLE) ELSE 0 END AS recall FROM a)
+    SELECT k, em, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1, round(precision, 9) AS precision, round(recall, 9) AS recall FROM b"""
+)
+def evidence_metrics(spark, sf):
+    """Evidence of an order: each gold line has two aliases, of which predictions use the second."""
+    n = F.col("l_linenumber").cast("string")
+    alias = F.array(F.concat(F.lit("line "), n), F.concat(F.lit("no "), n))
+    o = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(F.when(F.col("l_quantity") < 30, alias[1])).alias("pred"), F.collect_set(F.when(F.col("l_quantity") > 10, alias)).alias("golds"))
+    return rounded(o.select("k", metrics.evidence(F.col("pred"), F.col("golds")).alias("s")).select("k", "s.em", "s.f1", "s.precision", "s.recall"), "f1", "precision", "recall")
+
+
+SENT = r"string_split(regexp_replace({}, '\.\s*([A-Z]|\n)', '.' || chr(1) || '\1', 'g'), chr(1))"
+
+
+@query(f"WITH s AS (SELECT doc_id, {SENT.format('text')} AS c FROM documents) SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, c[i + 1] AS chunk FROM (SELECT doc_id, c, unnest(range(len(c))) AS i FROM s)")
+def sentence_chunks(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("chunk_no", "chunk"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS para FROM documents), s AS (SELECT doc_id, {SENT.format('para')} AS c FROM p)
+    SELECT doc_id, unnest(c) AS chunk FROM s"""
+)
+def paragraph_chunks(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.explode(text.paragraph_sentences(F.col("text"))).alias("chunk"))
+
+
+@query("SELECT doc_id, CAST(i / 2400 AS INTEGER) AS chunk_no, substr(text, CAST(i + 1 AS BIGINT), 3000) AS chunk FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 2400)) AS i FROM documents)")
+def fixed_stride_chunks(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.posexplode(text.stride_chunks(F.col("text"))).alias("chunk_no", "chunk"))
+
+
+@query()
+def recursive_chunks(spark, sf):
+    return chunking.chunked(read(spark, sf, "documents"), chunking.recursive_chunks)
+
+
+@query()
+def token_chunks(spark, sf):
+    return chunking.chunked(read(spark, sf, "documents"), chunking.token_chunks)
+
+
+TAGGED = "SELECT conv_id, turn, role || chr(10) || text || ' ## ' || role || '##' || coalesce(CAST(turn * 1000 AS VARCHAR), '') || '</think>' || chr(10) || chr(10) || ' 1,' || CAST(turn AS VARCHAR) || '5' AS s FROM conversations"
+
+
+def tagged(spark, sf) -> DataFrame:
+    c = read(spark, sf, "conversations")
+    s = F.concat("role", F.lit("\n"), "text", F.lit(" ## "), "role", F.lit("##"), (F.col("turn") * 1000).cast("string"), F.lit("</think>\n\n 1,"), F.col("turn").cast("string"), F.lit("5"))
+    return c.select("conv_id", "turn", s.alias("s"))
+
+
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"WITH t AS ({TAGGED}) SELECT conv_id, turn, {STRIP.format(chr(114) + 'egexp_extract(s, ' + chr(39) + '(?s)assistant' + chr(92) + 'n{1,2}(.*)' + chr(39) + ', 1)')} AS reply FROM t")
+def assistant_extract(spark, sf):
+    return tagged(spark, sf).select("conv_id", "turn", text.assistant_reply(F.col("s")).alias("reply"))
+
+
+@query(
+    f"""WITH t AS ({TAGGED}), p AS (SELECT conv_id, turn, list_transform(string_split(s, '##'), lambda x: {STRIP.format('x')}) AS a FROM t)
+    SELECT conv_id, turn, list_filter(a, lambda x: x <> '') AS parts, a[2:] AS sub_questions FROM p"""
+)
+def split_markers(spark, sf):
+    return tagged(spark, sf).select("conv_id", "turn", text.marked_parts(F.col("s")).alias("parts"), text.sub_questions(F.col("s")).alias("sub_questions"))
+
+
+@query(
+    f"""WITH t AS ({TAGGED}) SELECT conv_id, turn, string_split(s, '</think>' || chr(10) || chr(10))[-1] AS answer,
+    CAST(regexp_extract_all(replace(s, ',', ''), '\\d+')[-1] AS BIGINT) AS value, 'Instruct: find' || chr(10) || 'Query: ' || s AS instruct FROM t"""
+)
+def answer_values(spark, sf):
+    s = F.col("s")
+    return tagged(spark, sf).select("conv_id", "turn", text.after_thinking(s).alias("answer"), text.answer_value(s).alias("value"), text.detailed_instruct(F.lit("find"), s).alias("instruct"))
+
+
+@query("SELECT event_id, json_extract_string(props, k) AS value, k AS key FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def jsonl_parse(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    return e.select("event_id", F.explode("m").alias("key", "value"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS qid, 'Which? in ''' || source || '''' AS text, [lang] AS answer FROM documents")
+def titled_questions(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("qid"), F.lit("Which?").alias("question"), F.col("source").alias("title"), F.array("lang").alias("answers"))
+    return jsonl.titled_questions(d)
+
+
+NEAR = f"SELECT qid, list(id ORDER BY rank) AS ids FROM ({knn_sql('l2', 5)}) GROUP BY qid"
+
+
+def nearest_docs(spark, sf) -> DataFrame:
+    return knn.topk_lists(neighbours(spark, sf, 5, "l2")).withColumnRenamed("qid", "idx")
+
+
+@query(
+    f"""WITH n AS ({NEAR}), i AS (SELECT qid, unnest(ids) AS id, unnest(range(5)) AS pos FROM n),
+    d AS (SELECT qid, string_agg('[Doc ' || id || '] ' || text, chr(10) || chr(10) ORDER BY pos) AS s FROM i JOIN documents ON id = doc_id GROUP BY qid)
+    SELECT qid AS idx, {STRIP.format('s')} AS section FROM d"""
+)
+def prompt_docs(spark, sf):
+    corpus = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    d = records.ordered_texts(nearest_docs(spark, sf), corpus)
+    return d.select("idx", prompts.documents_section(F.col("docs")).alias("section"))
+
+
+@query(f"SELECT qid AS idx, array_to_string(list_transform(ids, lambda x: '[Doc ' || x || ']'), ' > ') AS ranking FROM ({NEAR})")
+def prompt_importance(spark, sf):
+    return nearest_docs(spark, sf).select("idx", prompts.importance(F.col("doc_ids")).alias("ranking"))
+
+
+@query()
+def prompt_ranked(spark, sf):
+    corpus = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    n = nearest_docs(spark, sf)
+    d = records.ordered_texts(n, corpus).join(n, "idx")
+    return d.select("idx", prompts.fill(prompts.RANKED, prompts.documents_section(F.col("docs")), F.lit("Which?"), prompts.importance(F.col("doc_ids"))).alias("prompt"))
+
+
+def places(spark, sf) -> DataFrame:
+    """region -> nation -> customer -> order as one tree of (node_id, parent)."""
+    r = read(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent"))
+    n = read(spark, sf, "nation").select((F.col("n_nationkey") + 1000).cast("long"), F.col("n_regionkey").cast("long"))
+    c = read(spark, sf, "customer").select(F.col("c_custkey") + 1_000_000, (F.col("c_nationkey") + 1000).cast("long"))
+    o = read(spark, sf, "orders").select(F.col("o_orderkey") + 1_000_000_000, F.col("o_custkey") + 1_000_000)
+    return r.union(n).union(c).union(o)
+
+
+EDGES = """e AS (SELECT CAST(r_regionkey AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent FROM region UNION ALL SELECT n_nationkey + 1000, n_regionkey FROM nation
+    UNION ALL SELECT c_custkey + 1000000, c_nationkey + 1000 FROM customer UNION ALL SELECT o_orderkey + 1000000000, o_custkey + 1000000 FROM orders),
+    a AS (SELECT node_id, parent AS ancestor, 1 AS level FROM e WHERE parent IS NOT NULL UNION ALL SELECT a.node_id, e.parent, a.level + 1 FROM a JOIN e ON a.ancestor = e.node_id WHERE e.parent IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {EDGES} SELECT CAST(node_id AS BIGINT) AS node_id, CAST(ancestor AS BIGINT) AS ancestor, level FROM a")
+def ancestor_closure(spark, sf):
+    return tree.ancestors(places(spark, sf))
+
+
+@query(f"WITH RECURSIVE {EDGES} SELECT CAST(node_id AS BIGINT) AS node_id, list_concat([CAST(node_id AS BIGINT)], list(CAST(ancestor AS BIGINT) ORDER BY level)) AS path FROM a GROUP BY node_id")
+def path_to_root(spark, sf):
+    a = tree.ancestors(places(spark, sf))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("level", "ancestor"))), lambda s: s["ancestor"])
+    return a.groupBy("node_id").agg(ordered.alias("path")).select("node_id", F.concat(F.array("node_id"), "path").alias("path"))
+
+
+SIZES = f"WITH {B}, s AS (SELECT idx AS node_id, len(list_distinct(doc_ids)) AS size, idx % 7 + 1 AS frequency FROM lists), t AS (SELECT *, CASE WHEN size <= 2 THEN 'gpu' WHEN size <= 4 THEN 'dram' WHEN size <= 5 THEN 'disk' ELSE 'not_stored' END AS storage FROM s)"
+
+
+def stored(spark, sf) -> DataFrame:
+    s = overlap.contents(baskets(spark, sf)).select(F.col("idx").alias("node_id"), F.size("content").alias("size"), (F.col("idx") % 7 + 1).alias("frequency"))
+    tier = F.when(F.col("size") <= 2, "gpu").when(F.col("size") <= 4, "dram").when(F.col("size") <= 5, "disk").otherwise("not_stored")
+    return s.withColumn("storage", tier)
+
+
+COST = "round(CASE storage WHEN 'gpu' THEN 1e-5 + r WHEN 'dram' THEN gb / 128 + r WHEN 'disk' THEN gb / 6 + gb / 128 + r ELSE 10 * 1200 / 5000.0::DOUBLE END, 9)"
+COSTS = f"{SIZES}, c AS (SELECT *, greatest(0, 10 - size) * 1200 / 5000.0::DOUBLE AS r, size * 421632000.0::DOUBLE / 1073741824 AS gb FROM t)"
+
+
+@query(f"{COSTS} SELECT node_id, storage, {COST} AS cost FROM c")
+def tier_cost(spark, sf):
+    return stored(spark, sf).select("node_id", "storage", F.round(costs.tier_cost(F.col("size"), F.col("storage"), F.lit(10)), 9).alias("cost"))
+
+
+@query(f"{SIZES} SELECT storage, count(*) AS n, CAST(sum(size) * 421632000 AS BIGINT) AS used_bytes, round(100 * (sum(size) * 421632000 / 1073741824.0::DOUBLE) / CASE storage WHEN 'gpu' THEN 48 WHEN 'dram' THEN 512 ELSE 1024 END, 6) AS utilization_pct FROM t WHERE storage <> 'not_stored' GROUP BY storage")
+def tier_utilization(spark, sf):
+    return placement.utilization(stored(spark, sf), {"gpu": 48, "dram": 512, "disk": 1024})
+
+
+@query(f"{SIZES} SELECT storage, CAST(count(*) FILTER (node_id % 3 = 0) AS BIGINT) AS leaves, CAST(count(*) FILTER (node_id % 3 <> 0) AS BIGINT) AS inner_nodes, round(avg(frequency), 6) AS avg_frequency, round(avg(size), 6) AS avg_size FROM t GROUP BY storage")
+def tier_summary(spark, sf):
+    return placement.summary(stored(spark, sf).withColumn("is_leaf", F.col("node_id") % 3 == 0))
+
+
+@query(f"{SIZES} SELECT storage, CAST(r AS INTEGER) AS rank, node_id, frequency FROM (SELECT *, row_number() OVER (PARTITION BY storage ORDER BY frequency DESC, node_id) AS r FROM t) WHERE r <= 10")
+def tier_top10(spark, sf):
+    return placement.top_nodes(stored(spark, sf))
+
+
+@query(f"{SIZES} SELECT node_id % 4 AS level, CAST(sum(frequency) AS BIGINT) AS served, CAST(sum(greatest(0, 10 - size) * frequency) AS BIGINT) AS computed FROM t GROUP BY 1")
+def routing_stats(spark, sf):
+    return placement.routing(stored(spark, sf).withColumn("level", F.col("node_id") % 4), 10)
+
+
+@query(f"{COSTS} SELECT node_id, frequency, round(frequency * {COST}, 6) AS total_cost FROM c ORDER BY total_cost DESC, node_id LIMIT 10")
+def query_top10(spark, sf):
+    cost = F.round(costs.tier_cost(F.col("size"), F.col("storage"), F.lit(10)), 9)
+    return stored(spark, sf).select("node_id", "frequency", F.round(F.col("frequency") * cost, 6).alias("total_cost")).orderBy(F.desc("total_cost"), "node_id").limit(10)
+
+
+@query(f"{SIZES} SELECT node_id, CASE WHEN size <= 3 THEN 'GPU' WHEN size <= 7 THEN 'DRAM' ELSE 'DISK' END AS v1, CASE WHEN size <= 8 THEN 'GPU' WHEN size <= 9 THEN 'DRAM' ELSE 'DISK' END AS v2 FROM t")
+def placement_rule(spark, sf):
+    s = F.col("size")
+    return stored(spark, sf).select("node_id", costs.placement_rule(s).alias("v1"), costs.placement_rule(s, 8, 9).alias("v2"))
+
+
+@query(
+    f"""{SIZES} SELECT node_id % 100 AS query, min_by(node_id, (c, node_id)) AS node_id, round(min(c), 9) AS cost FROM
+    (SELECT node_id, (10 - size) * 1200 / 5000.0::DOUBLE + CASE WHEN size <= 3 THEN 0 WHEN size <= 7 THEN size / 128.0::DOUBLE ELSE size / 6.0::DOUBLE + size / 128.0::DOUBLE END AS c FROM t) GROUP BY 1"""
+)
+def path_cost(spark, sf):
+    """The cheapest node of each path; nodes with equal id modulo 100 stand for one."""
+    s = F.col("size")
+    c = costs.path_cost(s, s * 1200, costs.placement_rule(s), F.lit(10))
+    d = stored(spark, sf).withColumn("c", c).groupBy((F.col("node_id") % 100).alias("query")).agg(F.min_by("node_id", F.struct("c", "node_id")).alias("node_id"), F.min("c").alias("m"))
+    return d.select("query", "node_id", F.round("m", 9).alias("cost"))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, p_size * 220 AS mb FROM part), m AS (SELECT *, list_min(list_filter([128, 512, 1024, 1536, 2048, 3072, 4096, 5120, 6144, 7168, 8192, 9216, 10240], lambda x: x >= mb)) AS tier FROM t)
+    SELECT p_partkey, CAST(tier AS INTEGER) AS tier, round(p_partkey * 0.2 / 1e6, 12) AS requests, round(p_partkey * 1e9 / (6 * 2.8e9 * 8), 9) AS seconds,
+      round(CASE WHEN g <= 6e9 THEN g * 0.0000166667::DOUBLE WHEN g <= 15e9 THEN 6e9 * 0.0000166667::DOUBLE + (g - 6e9) * 0.000015::DOUBLE ELSE 6e9 * 0.0000166667::DOUBLE + 9e9 * 0.000015::DOUBLE + (g - 15e9) * 0.0000133334::DOUBLE END, 3) AS duration
+    FROM (SELECT *, p_partkey * 1e7::DOUBLE * mb / 1024 AS g FROM m)"""
+)
+def lambda_cost(spark, sf):
+    p = read(spark, sf, "part").select("p_partkey", (F.col("p_size") * 220).alias("mb"))
+    k = F.col("p_partkey")
+    return p.select(
+        "p_partkey",
+        costs.lambda_memory(F.col("mb")).alias("tier"),
+        F.round(costs.request_cost(k), 12).alias("requests"),
+        F.round(costs.exec_seconds(k * 1e9), 9).alias("seconds"),
+        F.round(costs.duration_cost(k * 1e7, F.col("mb")), 3).alias("duration"),
+    )
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, round(5e-7::DOUBLE + 5e-6::DOUBLE * l_quantity / 1024, 15) AS write_cost, round(4e-7::DOUBLE + 4e-7::DOUBLE * l_quantity / 1024, 15) AS read_cost,
+    round(l_quantity / 40, 9) AS standard, round(l_quantity / 200, 9) AS accelerated, round(l_quantity / 81920, 9) AS express FROM lineitem"""
+)
+def s3_cost(spark, sf):
+    q = F.col("l_quantity")
+    kinds = {"standard": "standard", "accelerated": "transfer_acceleration", "express": "express_one_zone"}
+    reads = [F.round(costs.read_seconds(q, F.lit(v)), 9).alias(k) for k, v in kinds.items()]
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(costs.s3_write(q), 15).alias("write_cost"), F.round(costs.s3_read(q), 15).alias("read_cost"), *reads)
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_partkey * 1000.0::DOUBLE AS n, 64 * p_size AS dim, 1024.0::DOUBLE AS bucket, 128.0::DOUBLE AS mem FROM part),
+    s AS (SELECT *, (dim * floor(bucket / (dim * 4)) * 3 / (6 * 2.8e9 * 8) + bucket / 40) * floor(bucket / mem) AS seconds FROM p)
+    SELECT p_partkey, round(n * (dim * 4) * 4 * 0.003::DOUBLE / bucket * (seconds * mem / 1024 * 0.0000166667::DOUBLE + 0.2 / 1e6), 6) AS cost FROM s"""
+)
+def knn_cost(spark, sf):
+    p = read(spark, sf, "part")
+    return p.select("p_partkey", F.round(costs.knn_cost(F.col("p_partkey") * F.lit(1000.0), F.col("p_size") * 64, F.lit(1024.0), F.lit(128.0)), 6).alias("cost"))
+
+
+@query(
+    f"""WITH {B}, s AS (SELECT idx, list_distinct(doc_ids) AS c FROM lists), i AS (SELECT idx, len(c) AS n, unnest(c) AS doc FROM s),
+    h AS (SELECT a.idx, b.idx AS node_id, a.n, b.n AS m, count(*) AS c FROM i a JOIN i b ON a.doc = b.doc AND b.idx % 5 = 0 GROUP BY ALL),
+    d AS (SELECT idx, node_id, round(greatest(0.0, 1 - least(1.0, (exp(2 * (c / CAST(greatest(n, m) AS DOUBLE)) * (c / CAST(greatest(n, m) AS DOUBLE))) - 1) / (exp(2.0) - 1))), 9) AS dist FROM h)
+    SELECT idx, node_id, dist FROM d QUALIFY row_number() OVER (PARTITION BY idx ORDER BY dist, node_id) = 1"""
+)
+def closest_node(spark, sf):
+    """Every list against the nodes of the lists whose key is divisible by five."""
+    lists = baskets(spark, sf)
+    nodes = overlap.contents(lists).where("idx % 5 = 0").withColumnRenamed("idx", "node_id")
+    return overlap.closest(lists, nodes)
+
+
+def clicks(spark, sf) -> DataFrame:
+    """idx, doc_ids: small components for linkage, one per user: their events' types and hours."""
+    e = read(spark, sf, "events").select("event_id", "user_id", F.col("user_id") * 1000 + F.hour("ts") % 12, F.col("user_id") * 1000 + 500 + F.length("event_type"), F.col("user_id") * 1000 + 700 + (F.col("event_id") % 3))
+    e = e.toDF("idx", "user_id", "a", "b", "c")
+    return e.select("idx", F.array("a", "b", "c").alias("doc_ids"))
+
+
+@query()
+def linkage_nodes(spark, sf):
+    return tree.shared_tree(clicks(spark, sf))
+
+
+@query()
+def tree_report(spark, sf):
+    return tree.tree_report(tree.shared_tree(clicks(spark, sf), "direct", "complete"))
+
+
+@query()
+def reordered_batch(spark, sf):
+    return rag.optimize_lists(clicks(spark, sf))
+
+
+@query()
+def rag_answers(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("question"))
+    return rag.rag(q, d, 3, rag.StubEmbedding, rag.StubChat, seed=7).select("idx", F.transform("docs", lambda x: x["id"]).alias("doc_ids"), "response", "error")
+
+
+@query()
+def synthetic_queries(spark, sf):
+    return rag.synthetic_queries(spark)
