@@ -11,14 +11,17 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 NONE = np.int64(1) << 40
-CACHE_WORDS = 400_000
-#: Beyond these characters, case mapping and composition are left to the tokenizer's own normaliser.
+CACHE_WORDS = 900_000
+MARKS = ".,;:!?"
+#: Beyond these characters, case mapping, composition and letter classes are left to the tokenizer's own parts.
 PLAIN = re.compile(r"[^\x00-\x1b\x20-ɏ]")
 
 
@@ -37,6 +40,7 @@ class WordBpe:
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.split = Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.normalizer = Tokenizer.from_file(path).normalizer
         letters = byte_letters()
         self.inner = np.array([vocab.get(c, -1) for c in letters], dtype=np.int64)
@@ -110,26 +114,39 @@ class WordBpe:
         if text.isascii() and not PLAIN.search(text):
             return text.lower().split()
         if PLAIN.search(text):
-            return self.pattern.findall(self.normalizer.normalize_str(text))
+            return [f" {w}" for w, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(text))]
         return text.lower().split()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        get = self.cache.get
         split = [self.chunks(t) for t in texts]
-        new = {c for words in split for c, got in zip(words, map(get, words), strict=True) if got is None}
+        new = set(chain.from_iterable(split)).difference(self.cache)
         if new:
             self._learn(list(new))
         return [b"".join(map(self.cache.__getitem__, words)) for words in split]
 
+    def words(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk: letters, with one mark after them at most, need no pattern.
+
+        After a space stands a pre-token as the tokenizer's own pattern has cut it.
+        """
+        if chunk[0] == " ":
+            return [chunk[1:]]
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
     def _learn(self, chunks: list[str]) -> None:
-        found = [[c] if c in self.special else self.pattern.findall(c) for c in chunks]
-        flat = list({w for words in found for w in words if w not in self.special})
+        found = [[c] if c in self.special else self.words(c) for c in chunks]
+        flat = list({w for words in found for w in words if w not in self.special}.difference(self.cache))
         packed = dict(zip(flat, self.merge([w.encode() for w in flat]), strict=True)) | self.special
+        known = self.cache.get
         for c, words in zip(chunks, found, strict=True):
-            self.cache[c] = b"".join(packed[w] for w in words)
+            self.cache[c] = b"".join([packed[w] if w in packed else known(w) for w in words])
 
 
 @lru_cache(maxsize=2)
