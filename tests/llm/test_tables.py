@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandlake.llm import embedding_dedup, hilbert_shards, quality_classifier, quality_rules
+from strandlake.llm import embedding_dedup, hilbert_shards, quality_classifier, quality_rules, queries
 from strandlake.llm.common import table
 from tests.llm.corpus import frame, texts
 
@@ -47,13 +47,16 @@ def test_rule_ablations(spark):
         assert (r["n_failed"], r["n_only"]) == (sum(bool(x & b) for x in bits), sum(x & m == b for x in bits))
 
 
-def test_rules_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    q = con.execute(quality_rules.ORACLE)
-    names = [c[0] for c in q.description]
-    got = quality_rules.apply_policy(quality_rules.ledger(table(spark, SF, "documents")), "standard-2").select(*names).collect()
-    assert sorted(map(tuple, got)) == sorted(q.fetchall())
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, SF)
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
 
 
 @pytest.mark.parametrize("bits,dims", [(2, 2), (3, 3)])
