@@ -67,7 +67,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     def curve(size: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([size, lang, source], axis=1), BITS))
 
-    level = F.least(F.floor(F.log2("size")), F.lit((1 << BITS) - 1))
+    level = F.least((F.length(F.bin("size")) - 1).cast("long"), F.lit((1 << BITS) - 1))
     d = d.withColumn("curve", curve(level, "c_lang", "c_source")).drop("c_lang", "c_source")
     order = ["curve", "text_crc32", "doc_id", "tie"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

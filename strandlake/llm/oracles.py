@@ -38,3 +38,53 @@ nodes AS (SELECT node AS id FROM rep), {REACH},
 c AS (SELECT id, min(low) AS low FROM reach GROUP BY id)
 SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(low, doc_id) AS component_id, coalesce(low, doc_id) = doc_id AS kept
 FROM s LEFT JOIN rep ON rep.s = s.s LEFT JOIN c ON c.id = rep.node"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, folded byte by byte through the table of its polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1
+        table.append(c)
+    h = f"hex(encode({text}))"
+    data = f"list_transform(range(0, length({h}) // 2), lambda i: CAST('0x' || substr({h}, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, {table}[xor(c & 255, b) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _hilbert(source: str, bits: int, dims: int) -> list[str]:
+    """Common table expressions h0, h1, ...: columns x0, x1, ... of ``source`` turned into ``curve``, after Skilling (2004)."""
+    steps, at = [], source
+
+    def step(**new: str) -> None:
+        nonlocal at
+        steps.append(f"h{len(steps)} AS (SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in new.items())}) FROM {at})")
+        at = f"h{len(steps) - 1}"
+
+    for b in range(bits - 1, 0, -1):
+        q, p = 1 << b, (1 << b) - 1
+        step(x0=f"CASE WHEN x0 & {q} <> 0 THEN xor(x0, {p}) ELSE x0 END")
+        for i in range(1, dims):
+            swap = f"xor(x0, x{i}) & {p}"
+            step(**{"x0": f"xor(x0, CASE WHEN x{i} & {q} <> 0 THEN {p} ELSE {swap} END)", f"x{i}": f"CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, {swap}) END"})
+    for i in range(1, dims):
+        step(**{f"x{i}": f"xor(x{i}, x{i - 1})"})
+    turn = "0"
+    for b in range(bits - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN x{dims - 1} & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    step(**{f"x{i}": f"xor(x{i}, {turn})" for i in range(dims)})
+    index = " + ".join(f"(((x{i} >> {b}) & 1) << {b * dims + dims - 1 - i})" for b in range(bits) for i in range(dims))
+    steps.append(f"curved AS (SELECT *, {index} AS curve FROM {at})")
+    return steps
+
+
+def sharding(bits: int, shards: int = 16) -> str:
+    """Law ``rows``: ranks along the curve, cut into runs whose lengths differ by one at most."""
+    cell = f"{_crc32('coalesce({}, chr(0))')} % {1 << bits}"
+    start = "CASE WHEN shard < r THEN shard * (q + 1) ELSE r * (q + 1) + (shard - r) * q END"
+    return f"""WITH m AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc32("coalesce(text, '')")} AS text_crc32, {cell.format("lang", "lang")} AS x1, {cell.format("source", "source")} AS x2 FROM documents),
+p AS (SELECT *, least(length(ltrim(CAST(CAST(size AS BIT) AS VARCHAR), '0')) - 1, {(1 << bits) - 1}) AS x0 FROM m),
+{", ".join(_hilbert("p", bits, 3))},
+k AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id) - 1 AS rank, count(*) OVER () // {shards} AS q, count(*) OVER () % {shards} AS r FROM curved),
+s AS (SELECT *, CASE WHEN q = 0 THEN rank WHEN rank < r * (q + 1) THEN rank // (q + 1) ELSE r + (rank - r * (q + 1)) // q END AS shard FROM k)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(rank - ({start}) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlake.llm import oracles, quality_rules
 from strandlake.llm.common import table
 from strandlake.llm.embedding_dedup import near_vectors
-from strandlake.llm.hilbert_shards import shard
+from strandlake.llm.hilbert_shards import BITS, shard
 from strandlake.llm.jaccard_join import jaccard_groups
 from strandlake.llm.line_dedup import digest, line_dedup
 from strandlake.llm.packing import pack
@@ -63,4 +63,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_packing, op4_quality_classifier, op5_embedding_near_dedup, op6_line_dedup, op7_piece_codec, op8_jaccard_join, op9_quality_rules, op10_sharding)}
-ORACLES = {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op5_embedding_near_dedup": oracles.NEAR_VECTORS, "op8_jaccard_join": oracles.JACCARD, "op9_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op1_suffix_dedup": oracles.SUFFIX_DEDUP, "op5_embedding_near_dedup": oracles.NEAR_VECTORS, "op8_jaccard_join": oracles.JACCARD, "op9_quality_rules": quality_rules.ORACLE, "op10_sharding": oracles.sharding(BITS)}
