@@ -75,6 +75,22 @@ The importance ranking of documents for this query is:
 Please prioritize information from higher-ranked documents when there are conflicts or overlapping information."""
 )
 
+SUB_QUESTIONS = """
+    Here is the question: {}  
+    Before answering this question, what sub-questions need to be addressed? 
+    Please list them one by one and add ## before you state these questions.
+    Do not assign numbers as the bullet points.
+    """
+SHORT_ANSWER = "Using the folloing information: {}. Answer the following question in less than 5-7 words, if possible: {}"
+QA_SYSTEM = (
+    "You are a helpful assistant that answers questions directly without description based on provided documents.\n"
+    "1. Please directly answer the question without description. If the answer is Yes or No, just say Yes or No\n"
+    "2. Do not include any special characters like <answer> or </answer>.\n"
+    "3. If there is insufficient information, just say 'Insufficient information'."
+)
+QA_USER = "Please answer a question according to given documents.\n{}"
+QA_CHAT = QA_SYSTEM + "\n\n" + QA_USER
+
 
 def fill(template: str, *values: Column) -> Column:
     """The template with its places filled in order; nothing in a value is read as a place."""

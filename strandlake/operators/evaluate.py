@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.metrics import CLOSED, overlap_scores
+from strandlake.functions.metrics import CLOSED, evidence, joint, overlap_scores, supporting_facts
 from strandlake.functions.similarity import multiset_overlap
-from strandlake.functions.text import answer_tokens
+from strandlake.functions.text import after_thinking, answer_tokens, normalize_evidence
 
 
 def answer_rows(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
@@ -32,3 +32,53 @@ def corpus_metrics(gold: DataFrame, scored: DataFrame, key: str, names=("em", "f
     """Means x 100 over all gold rows; a gold without a prediction counts 0."""
     j = gold.select(key).join(scored, key, "left")
     return j.agg(F.count("*").alias("n"), *[F.round(100 * F.sum(F.coalesce(n, F.lit(0.0))) / F.count("*"), 6).alias(n) for n in names])
+
+
+def label_set_means(rows: DataFrame) -> DataFrame:
+    """Means of rows (answer, labels array<string>): the best of a row's labels, metric by metric (AGG-7).
+
+    What precedes the last end of thinking is no answer. Rows without labels or answer count in no mean.
+    """
+    d = rows.withColumn("row", F.monotonically_increasing_id()).select("row", after_thinking(F.col("answer")).alias("pred"), F.explode("labels").alias("gold"))
+    best = best_of_golds(d.where("pred is not null and gold is not null"), "row")
+    return best.agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in ("em", "f1", "precision", "recall")])
+
+
+def evaluation(gold: DataFrame, answers: DataFrame, facts: DataFrame, evidences: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row of 16 corpus metrics in per cent (EVL-8).
+
+    ``gold`` (_id, answer, answer_id, supporting_facts, evidences, evidences_id); ``answers``, ``facts`` and
+    ``evidences`` (_id, pred): predictions, any of which may miss rows; ``aliases`` (Q_id, names). A missing
+    prediction counts 0 in its part and in the joint metrics; means are over all gold rows. Evidence ids
+    that do not fit their evidences are an error.
+    """
+    names = aliases.groupBy("Q_id").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    nothing = F.array().cast("array<string>")
+    named = gold.select("_id", "answer", F.col("answer_id").alias("Q_id")).join(names, "Q_id", "left")
+    pairs = named.join(answers, "_id").select("_id", "pred", F.explode(F.array_union(F.array("answer"), F.coalesce("names", nothing))).alias("gold"))
+    one = best_of_golds(pairs, "_id").select("_id", F.struct("em", "f1", "precision", "recall").alias("answer"))
+
+    pair = lambda xs: F.transform(xs, lambda x: F.struct(x[0].alias("title"), x[1].alias("sent")))
+    two = gold.select("_id", "supporting_facts").join(facts, "_id").select("_id", supporting_facts(pair(F.col("pred")), pair(F.col("supporting_facts"))).alias("sp"))
+
+    ids = F.coalesce("evidences_id", F.array().cast("array<array<string>>"))
+    fits = (F.size(ids) == 0) | ((F.size(ids) == F.size("evidences")) & F.forall(F.arrays_zip(ids.alias("i"), F.col("evidences").alias("e")), lambda z: z["i"][1] == z["e"][1]))
+    checked = gold.select("_id", F.when(fits, F.col("evidences")).otherwise(F.raise_error(F.lit("evidence ids do not fit their evidences")).cast("array<array<string>>")).alias("evidences"), ids.alias("ids"))
+    triples = checked.select("_id", "ids", F.posexplode("evidences").alias("pos", "t")).withColumn("i", F.get("ids", F.col("pos")))
+    other = lambda key, out: names.select(F.col("Q_id").alias(key), F.col("names").alias(out))
+    triples = triples.select("_id", "pos", "t", F.col("i")[0].alias("s_id"), F.col("i")[2].alias("o_id"))
+    triples = triples.join(other("s_id", "s"), "s_id", "left").join(other("o_id", "o"), "o_id", "left")
+    key = lambda a, b, c: F.concat_ws("\x01", *[normalize_evidence(x) for x in (a, b, c)])
+    ends = lambda at, more: F.array_union(F.array(F.col("t")[at]), F.coalesce(more, nothing))
+    product = F.flatten(F.transform(ends(0, "s"), lambda a: F.transform(ends(2, "o"), lambda b: key(a, F.col("t")[1], b))))
+    golds = triples.select("_id", product.alias("keys")).groupBy("_id").agg(F.collect_list("keys").alias("golds"))
+    pred = F.transform("pred", lambda t: key(t[0], t[1], t[2]))
+    none = F.array().cast("array<array<string>>")
+    three = gold.select("_id").join(evidences, "_id").join(golds, "_id", "left").select("_id", evidence(pred, F.coalesce("golds", none)).alias("evi"))
+
+    j = gold.select("_id").join(one, "_id", "left").join(two, "_id", "left").join(three, "_id", "left")
+    j = j.withColumn("joint", joint(F.col("answer"), F.col("sp"), F.col("evi")))
+    mean = lambda part, m: F.round(100 * F.sum(F.coalesce(F.col(part)[m], F.lit(0.0))) / F.count("*"), 2)
+    short = {"em": "em", "f1": "f1", "precision": "prec", "recall": "recall"}
+    parts = {"answer": "", "sp": "sp_", "evi": "evi_", "joint": "joint_"}
+    return j.agg(*[mean(p, m).alias(f"{prefix}{s}") for p, prefix in parts.items() for m, s in short.items()])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+CHUNK_BYTES = 64 << 20
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -20,19 +21,19 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", digits: int = 9, rows_per_chunk: int = 100_000) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", digits: int = 9, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Exact k nearest vectors of each query: qid, rank, id, dist.
 
-    ``queries`` (qid, v) and ``vectors`` (id, v). Vectors are dealt into chunks, queries into blocks of
-    about ``BLOCK``; each block meets each chunk once, as a matrix product, and hands on k rows a
+    ``queries`` (qid, v) and ``vectors`` (id, v). Vectors are dealt into chunks of about
+    ``chunk_bytes``, whatever their length, queries into blocks of about ``BLOCK``; each block meets each chunk once, as a matrix product, and hands on k rows a
     query. Distances are rounded and ties go to the smaller id. Null vectors are left out.
     """
     if metric not in ("l2", "cosine", "dot"):
         raise ValueError(f"unknown metric {metric!r}")
     q = queries.select("qid", F.col("v").cast("array<double>").alias("v")).where("v is not null")
     x = vectors.select("id", F.col("v").cast("array<double>").alias("v")).where("v is not null")
-    nq, nx = q.count(), x.count()
-    blocks, chunks = max(1, -(-nq // BLOCK)), max(1, -(-nx // rows_per_chunk))
+    values = x.agg(F.sum(F.size("v"))).first()[0] or 0
+    blocks, chunks = max(1, -(-q.count() // BLOCK)), max(1, -(-8 * values // chunk_bytes))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"), every(chunks).alias("c"), F.col("qid").alias("key"), "v")
     right = x.select(every(blocks).alias("b"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("c"), F.col("id").alias("key"), "v")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import prompts
 from strandlake.functions.text import assistant_reply, marked_parts, sub_questions
 from strandlake.operators import reorder, tree
+from strandlake.operators.durable import checkpointed
 from strandlake.operators.knn import knn, topk_lists
 from strandlake.operators.records import ordered_texts
 
@@ -105,12 +106,12 @@ def rat(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, paragra
     found = retrieve(queries, corpus, k, embeddings)
     context = lambda: F.array_join(F.transform("docs", lambda d: d["text"]), "\n")
     draft = generate(found.withColumn("prompt", prompts.fill(prompts.FIRST_RAT, context(), F.col("question"), F.lit(str(paragraphs)))), chat)
-    state = draft.select("idx", "question", marked_parts(F.col("response")).alias("parts"), F.lit("").alias("done"))
+    state = checkpointed(draft.select("idx", "question", marked_parts(F.col("response")).alias("parts"), F.lit("").alias("done")))
     for step in range(paragraphs):
         part = F.coalesce(F.get("parts", F.lit(step)), F.lit(""))
         near = retrieve(state.select("idx", F.concat_ws("\n", "done", part).alias("question")), corpus, k, embeddings).select("idx", "docs")
         asked = state.join(near, "idx").withColumn("prompt", prompts.fill(prompts.REVISE, context(), F.col("done"), part))
-        state = generate(asked, chat).select("idx", "question", "parts", F.when(part == "", F.col("done")).otherwise(F.concat_ws("\n", "done", "response")).alias("done"))
+        state = checkpointed(generate(asked, chat).select("idx", "question", "parts", F.when(part == "", F.col("done")).otherwise(F.concat_ws("\n", "done", "response")).alias("done")))
     final = retrieve(state.select("idx", "question"), corpus, k, embeddings).select("idx", "docs")
     asked = state.join(final, "idx").withColumn("prompt", prompts.fill(prompts.SUMMARIZE, context(), F.col("done"), F.col("question")))
     return generate(asked, chat).select("idx", "question", F.col("done").alias("chain"), "response")
@@ -118,13 +119,46 @@ def rat(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, paragra
 
 def decompose(queries: DataFrame, chat) -> DataFrame:
     """Sub-questions of every question: what follows each '##'."""
-    asked = generate(queries.withColumn("prompt", prompts.fill(prompts.SIMPLE_COT, F.col("question"))), chat)
+    asked = generate(queries.withColumn("prompt", prompts.fill(prompts.SUB_QUESTIONS, F.col("question"))), chat)
     return asked.select("idx", "question", sub_questions(F.col("response")).alias("sub_questions"))
 
 
+def short_answers(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat) -> DataFrame:
+    """Retrieved texts in one line and an answer of a few words."""
+    found = retrieve(queries, corpus, k, embeddings)
+    texts = F.array_join(F.transform("docs", lambda d: d["text"]), ", ")
+    return generate(found.withColumn("prompt", prompts.fill(prompts.SHORT_ANSWER, texts, F.col("question"))), chat)
+
+
+def cot_rag(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat) -> DataFrame:
+    """idx, question, chain, response, error: sub-questions answered in turn, each knowing those before, then the question.
+
+    All queries advance together, one stage a sub-question, as many as the longest list has. A stage that
+    fails leaves its answer empty and its error in the row; the other queries go on.
+    """
+    state = checkpointed(decompose(queries, chat).withColumns({"chain": F.lit(""), "error": F.lit(None).cast("string")}))
+    steps = state.agg(F.max(F.size("sub_questions"))).first()[0] or 0
+    known = lambda q: F.concat(F.when(F.col("chain") == "", "").otherwise(F.concat("chain", F.lit("\n"))), F.lit("Q: "), q)
+    for step in range(steps):
+        part = F.get("sub_questions", F.lit(step))
+        asked = state.where(part.isNotNull()).select("idx", F.when(F.col("chain") == "", part).otherwise(known(part)).alias("question"))
+        got = short_answers(asked, corpus, k, embeddings, chat).select("idx", F.coalesce("response", F.lit("")).alias("answer"), F.col("error").alias("failed"))
+        chain = F.when(F.col("answer").isNull(), F.col("chain")).otherwise(F.concat(known(part), F.lit("\nA: "), F.col("answer")))
+        state = state.join(got, "idx", "left").select("idx", "question", "sub_questions", chain.alias("chain"), F.coalesce("error", "failed").alias("error"))
+        state = checkpointed(state)
+    last = short_answers(state.select("idx", known(F.col("question")).alias("question")), corpus, k, embeddings, chat)
+    got = last.select("idx", "response", F.col("error").alias("failed"))
+    return state.join(got, "idx", "left").select("idx", "question", "chain", "response", F.coalesce("error", "failed").alias("error"))
+
+
+def document_qa(requests: DataFrame, chat) -> DataFrame:
+    """response and error of requests with a ``prompt``, asked under the multi-document instructions."""
+    return generate(requests.withColumn("asked", prompts.fill(prompts.QA_CHAT, F.col("prompt"))), chat, "asked").drop("asked")
+
+
 def optimize_lists(lists: DataFrame) -> DataFrame:
     """Cluster, put shared contents first, then order the batch: idx, new_ids, new_pos."""
-    nodes = tree.shared_tree(lists).persist()
+    nodes = checkpointed(tree.shared_tree(lists))
     first = reorder.by_leaf(lists, tree.prefix_leaves(nodes))
     return reorder.placed(reorder.rewrite(first)).select("idx", "new_ids", "new_pos")
 

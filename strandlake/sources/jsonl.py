@@ -50,6 +50,31 @@ def aliases(df: DataFrame) -> DataFrame:
     return df.select("Q_id", F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("demonyms", F.array().cast("array<string>"))).alias("names"))
 
 
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """Gold rows of a JSON array; numbers inside facts become text."""
+    lists = "array<array<string>>"
+    return spark.read.option("multiLine", True).schema(f"_id string, answer string, answer_id string, supporting_facts {lists}, evidences {lists}, evidences_id {lists}").json(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(_id, pred) of answers, supporting facts and evidences, from one JSON object of three maps."""
+    maps = "map<string, array<array<string>>>"
+    whole = spark.read.option("multiLine", True).schema(f"answer map<string, string>, sp {maps}, evidence {maps}").json(path)
+    return tuple(whole.select(F.explode(c).alias("_id", "pred")) for c in ("answer", "sp", "evidence"))
+
+
+def write_results(rows: DataFrame, means: DataFrame, path: str) -> None:
+    """Rows and their one row of means, as JSON lines in two folders under ``path``."""
+    write_jsonl(rows, f"{path}/results")
+    write_jsonl(means, f"{path}/metrics")
+
+
+def append_record(spark: SparkSession, path: str, means: DataFrame, **about: str | float) -> None:
+    """One JSON line more under ``path``: ``means`` to three digits, with what ``about`` says of the run."""
+    rounded = [F.round(c, 3).alias(c) if t == "double" else F.col(c) for c, t in means.dtypes]
+    means.select(*[F.lit(v).alias(k) for k, v in about.items()], *rounded).write.mode("append").json(path)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True)
 
