@@ -584,3 +584,61 @@ def rag_answers(spark, sf):
 @query()
 def synthetic_queries(spark, sf):
     return rag.synthetic_queries(spark)
+
+
+@query(f"{BEST} SELECT count(*) AS n, {', '.join(f'round(avg({m}), 9) AS {m}' for m in ('em', 'f1', 'precision', 'recall'))} FROM best")
+def label_set_means(spark, sf):
+    """Each assistant turn is an answer, all user turns of its conversation are its labels."""
+    labels = golds(spark, sf).groupBy("key").agg(F.first("pred").alias("answer"), F.collect_list("gold").alias("labels"))
+    return rounded(evaluate.label_set_means(labels), "em", "f1", "precision", "recall")
+
+
+def _ratios(tp: str, n: str, m: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN {tp} / CAST({n} AS DOUBLE) ELSE 0 END AS precision, CASE WHEN {m} > 0 THEN {tp} / CAST({m} AS DOUBLE) ELSE 0 END AS recall"
+
+
+HARMONIC = "CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1"
+FACTS = f"""i AS (SELECT l_orderkey AS k, l_returnflag AS t, l_linenumber AS n, bool_or(l_quantity < 30) AS p, bool_or(l_quantity > 10) AS g FROM lineitem GROUP BY ALL),
+    s AS (SELECT *, {HARMONIC} FROM (SELECT k, CAST(count(*) FILTER (p <> g) = 0 AS DOUBLE) AS em, {_ratios('count(*) FILTER (p AND g)', 'count(*) FILTER (p)', 'count(*) FILTER (g)')} FROM i GROUP BY k)),
+    l AS (SELECT l_orderkey AS k, l_linenumber AS n, bool_or(l_quantity < 30) AS p, count(*) FILTER (l_quantity > 10) AS g FROM lineitem GROUP BY ALL),
+    e AS (SELECT *, {HARMONIC} FROM (SELECT k, CAST(count(*) FILTER (p AND g > 0) = count(*) FILTER (p) AND count(*) FILTER (p AND g > 0) = sum(g) AS DOUBLE) AS em,
+      {_ratios('count(*) FILTER (p AND g > 0)', 'count(*) FILTER (p)', 'sum(g)')} FROM l GROUP BY k))"""
+
+
+@query(
+    f"""WITH pairs AS (SELECT o_orderkey AS k, o_orderpriority || ' ' || o_orderstatus AS pred, o_orderpriority || ' F' AS gold FROM orders WHERE o_orderstatus <> 'P'), {SCORES}, {FACTS},
+    j AS (SELECT o.o_orderkey AS k, a.em * s.em * e.em AS em, a.precision * s.precision * e.precision AS precision, a.recall * s.recall * e.recall AS recall FROM orders o LEFT JOIN full_ a ON a.k = o.o_orderkey LEFT JOIN s ON s.k = o.o_orderkey LEFT JOIN e ON e.k = o.o_orderkey),
+    joint AS (SELECT *, {HARMONIC} FROM j)
+    SELECT {', '.join(f'round(100 * coalesce((SELECT sum({m}) FROM {t}), 0) / (SELECT count(*) FROM orders), 2) AS {prefix}{short}' for t, prefix in (('full_', ''), ('s', 'sp_'), ('e', 'evi_'), ('joint', 'joint_')) for m, short in (('em', 'em'), ('f1', 'f1'), ('precision', 'prec'), ('recall', 'recall')))}"""
+)
+def evaluation(spark, sf):
+    """Orders as questions: their lines are facts and, under an alias, evidence; open orders lack an answer."""
+    orders, lines = read(spark, sf, "orders").withColumn("_id", F.col("o_orderkey")), read(spark, sf, "lineitem")
+    n = F.col("l_linenumber").cast("string")
+    fact = F.array("l_returnflag", n)
+    wanted, given = F.col("l_quantity") > 10, F.col("l_quantity") < 30
+    by = lines.groupBy(F.col("l_orderkey").alias("_id")).agg(
+        F.collect_list(F.when(wanted, fact)).alias("supporting_facts"),
+        F.collect_list(F.when(wanted, F.array(F.concat(F.lit("line "), n), F.lit("in"), F.lit("it")))).alias("evidences"),
+        F.collect_list(F.when(wanted, F.array(F.concat(F.lit("L"), n), F.lit("in"), F.lit("I")))).alias("evidences_id"),
+        F.collect_list(F.when(given, fact)).alias("facts"),
+        F.collect_list(F.when(given, F.array(F.concat(F.lit("No. "), n), F.lit("in"), F.lit("it")))).alias("evidence"),
+    )
+    none = F.array().cast("array<array<string>>")
+    lists = [F.coalesce(c, none).alias(c) for c in ("supporting_facts", "evidences", "evidences_id")]
+    gold = orders.join(by, "_id", "left").select("_id", F.concat("o_orderpriority", F.lit(" F")).alias("answer"), F.lit(None).cast("string").alias("answer_id"), *lists)
+    answers = orders.where("o_orderstatus <> 'P'").select("_id", F.concat("o_orderpriority", F.lit(" "), "o_orderstatus").alias("pred"))
+    names = lines.select(F.concat(F.lit("L"), n).alias("Q_id"), F.array(F.concat(F.lit("no "), n)).alias("names")).distinct()
+    return evaluate.evaluation(gold, answers, by.select("_id", F.col("facts").alias("pred")), by.select("_id", F.col("evidence").alias("pred")), names)
+
+
+@query()
+def dendrogram_nodes(spark, sf):
+    return tree.dendrogram(clicks(spark, sf), "square", "single")
+
+
+@query()
+def staged_answers(spark, sf):
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    q = read(spark, sf, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("question"))
+    return rag.cot_rag(q, d, 3, rag.StubEmbedding, rag.StubChat).select("idx", "chain", "response", "error")
