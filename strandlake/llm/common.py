@@ -63,6 +63,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], total: int, share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique and whose ``n`` counts the key's rows in ``left``.
+
+    A key with more than one in ``share`` of the ``total`` rows meets its row by broadcast, where its rows
+    lie: there are fewer than ``share`` such keys, whatever the data. All other keys are shuffled. ``right``
+    should be stored, as it is read three times.
+    """
+    hot = right["n"] * share > total
+    few = F.broadcast(right.where(hot))
+    return left.join(few, keys).unionByName(left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of text in the whole table: sizes numbers of partitions."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

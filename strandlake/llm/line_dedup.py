@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Stored
+from strandlake.llm.common import Stored, join_hot
 
 WINDOW, EVERY = 2, 4
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -45,7 +45,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, chunk numbers to remove, number of removed chunks) after byte comparison.
 
     The first chunk of a class by (doc_id, number) stays. Chunks travel as 128-bit hashes; counting
-    pre-aggregates, so a chunk in every document is one row per task. Texts of repeated chunks are
+    pre-aggregates, so a chunk in every document is one row per task, and is joined back where its rows
+    lie. Texts of repeated chunks are
     then compared as bytes, again pre-aggregated (least and greatest text of a hash); where texts
     under one hash differ, that hash removes nothing.
     """
@@ -64,8 +65,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ints[0]), pa.array(ints[1]), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32())], names=["h1", "h2", "doc_id", "k"])
 
     chunks = Stored(docs.mapInArrow(hashed, "h1 long, h2 long, doc_id long, k int"), "chunks").df
-    first = chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("first")).where("n > 1").drop("n")
-    found = Stored(chunks.join(first, ["h1", "h2"]).select("h1", "h2", "doc_id", "k", (F.struct("doc_id", "k") != F.col("first")).alias("again")), "repeats").df
+    first = Stored(chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("first")).where("n > 1"), "first").df
+    found = Stored(join_hot(chunks, first, ["h1", "h2"], chunks.count()).select("h1", "h2", "doc_id", "k", (F.struct("doc_id", "k") != F.col("first")).alias("again")), "repeats").df
 
     def texts(batches):
         for batch in batches:
