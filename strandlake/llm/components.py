@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Stored
+from strandlake.llm.common import Stored, join_hot
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,23 +44,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two long columns. Each partition first contracts its own edges; then large-star and
     small-star rounds (Kiveris et al. 2014) run until nothing changes, each written to the shared
-    folder. Minima are pre-aggregated and joined back, so the hub of a star is never gathered.
+    folder. Minima are pre-aggregated and joined back, so the hub of a star is
+    never gathered, and its rows meet its minimum where they lie.
     Null ends and loops are ignored; no edges give no rows.
     """
     a, b = edges.columns
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b)))
-    e = e.mapInArrow(_contract, "u long, v long")
-    seen, old = None, None
+    old = Stored(e.mapInArrow(_contract, "u long, v long"), "components")
+    e, seen = old.df, None
     while True:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
-        low = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"))
-        large = both.where("y > x").join(low, "x").where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
+        low = Stored(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"), F.count_if(F.col("y") > F.col("x")).alias("n")), "minima")
+        large = join_hot(both.where("y > x"), low.df, ["x"], e.count()).where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
         new = Stored(small, "components")
         now = new.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if old is not None:
-            old.drop()
+        old.drop()
+        low.drop()
         e, old = new.df, new
         if tuple(now) == seen:
             break

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Stored, parts, text_bytes
+from strandlake.llm.common import Stored, join_hot, parts, text_bytes
 from strandlake.llm.components import components, local_roots
 from strandlake.llm.embedding_dedup import keyed_runs
 
@@ -286,7 +286,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     bits = sketch_bits(text_bytes(docs))
     stored = _sets(docs, bits).df
     sets = stored.where("kind = 0").select("doc_id", "n", "node")
-    reps = Stored(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")), "reps").df
+    reps = Stored(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")), "reps").df
     entries = (sets.agg(F.sum("n")).first()[0] or 0) / DEN
     n = parts(spark, entries, 500_000)
     lists = store(_lists(_messages(docs, _rarity(stored, bits), 4 * n), n), "lists")
@@ -306,9 +306,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     group = rest.select("node").distinct().join(labels, "node", "left").join(home, "node", "left").join(of_home, "home", "left")
     group = group.select("node", F.coalesce("component", "node").alias("label"), F.coalesce("component", "of_home", "home", "node").alias("g"))
     group = store(group, "grouped")
-    member = rest.join(group, "node")
-    several = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    member = store(member.join(several, "token"), "matrix")
+    member = store(rest.join(group, "node"), "entries")
+    several = member.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    several = store(several.where("lo < hi").select("token", "n"), "several")
+    member = store(join_hot(member, several, ["token"], member.count()).drop("n"), "matrix")
     tail = F.col("size") - F.col("pos") - 1
     bounds = {"least": F.min("size"), "most": F.max("size"), "far": F.max("pos"), "tail": F.max(tail), "lo": F.min("label"), "hi": F.max("label")}
     matrix = member.groupBy("token", "g").agg(*[v.alias(k) for k, v in bounds.items()])
@@ -324,11 +325,14 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     groups = labels
     if not more.isEmpty():
         groups = components(more.union(labels.select("node", "component")))
-    named = reps.join(groups, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("g"))
-    low = named.groupBy("g").agg(F.min("rep").alias("component_id"))
-    named = Stored(named.join(low, "g").select("node", "component_id"), "named").df
+    named = store(reps.join(groups, "node", "left").select("node", "rep", "docs", F.coalesce("component", "node").alias("g")), "members")
+    low = store(named.groupBy("g").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "low")
+    named = join_hot(named, low, ["g"], named.count()).select("node", "component_id", F.col("docs").alias("n"))
+    named = Stored(named, "named").df
     for x in done:
         x.drop()
-    out = sets.join(named, "node", "left")
+    known = join_hot(sets.where("node is not null").withColumnRenamed("n", "size"), named, ["node"], sets.count(), "left")
+    known = known.select("doc_id", F.col("size").alias("n"), "component_id")
+    out = known.unionByName(sets.where("node is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
     found_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), found_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
