@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import Stored
+from strandlake.llm.common import Stored, join_hot
 from strandlake.llm.components import components, local_roots
 
 BLOCK = 1024
@@ -84,8 +84,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99,
                 yield pa.RecordBatch.from_arrays([pa.array(t * 100_003 + dim), pa.array(c.ravel()), pa.array(np.repeat(rep[at], tables))], names=["t", "code", "rep"])
 
     keys = Stored(distinct.mapInArrow(sign, "t long, code long, rep long"), "codes").df
-    full = keys.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1")
-    member = keys.join(full, ["t", "code"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    full = Stored(keys.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1"), "buckets").df
+    member = join_hot(keys, full, ["t", "code"], n * tables).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     member = member.withColumn("own", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     member = member.select("t", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
@@ -126,6 +126,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99,
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select("rep", "root")).withColumnsRenamed({"node": "rep"})
     of_rep = distinct.join(counts, "rep", "left").join(groups, "rep", "left")
-    of_rep = of_rep.select("e", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = v.join(of_rep, "e", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
+    of_rep = Stored(of_rep.select("e", F.col("copies").alias("n"), links.alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "results").df
+    linked = join_hot(v.where("fine").select("vec_id", "e"), of_rep, ["e"], v.count()).select("vec_id", "n_links", "component_id")
+    alone = v.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
