@@ -12,26 +12,22 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import Stored, join_hot
 
-WINDOW, EVERY = 2, 4
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
 def chunk_ends(lines: list[str]) -> list[int]:
     """Line numbers after which a chunk ends.
 
-    A boundary follows a line where the rolling hash of the last ``WINDOW`` line hashes falls into one
-    class of ``EVERY``: it depends on these lines alone, so lines added before do not move it.
+    A boundary follows a line whose hash is less than those of the lines beside it, so a chunk has two
+    lines at least, and the lines added before a passage do not move its boundaries. None follows two
+    blank lines or leaves only blank ones, so each chunk of a text with a word has one.
     """
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), dtype=np.uint64, count=len(lines))
-    rolled = h.copy()
-    for back in range(1, WINDOW):
-        rolled[back:] = rolled[back:] * MULTIPLIER + h[:-back]
-    ends = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(EVERY) == 0) + 1
-    return [*ends[(ends >= WINDOW) & (ends < len(lines))].tolist(), len(lines)]
+    h = [xxhash.xxh3_64_intdigest(x) for x in lines]
+    blank = [not x or x.isspace() for x in lines]
+    worded = max((i for i, x in enumerate(blank) if not x), default=0)
+    ends = [i + 1 for i in range(1, min(len(lines) - 2, worded)) if h[i - 1] > h[i] < h[i + 1] and not (blank[i - 1] and blank[i])]
+    return [*ends, len(lines)]
 
 
 def chunk_texts(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    """Lines and the (start, end) of each chunk. Only chunks of two or more lines with a word can go."""
+    """Lines and the (start, end) of each chunk. Only a text of one line, or without a word, has one that cannot go."""
     lines = text.split("\n")
     ends = chunk_ends(lines)
     return lines, list(zip([0, *ends[:-1]], ends, strict=True))

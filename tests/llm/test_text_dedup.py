@@ -184,3 +184,22 @@ def test_line_boundaries_resist_shifts(before, seed):
     ends = {e for e in line_dedup.chunk_ends(body) if e > 2}
     moved = {e - len(head) for e in line_dedup.chunk_ends(head + body) if e - len(head) > 2}
     assert ends == moved
+
+
+def test_line_dedup_removes_whole_copies(spark):
+    """A later copy of any text of two lines or more with a word keeps no line."""
+    import random
+
+    rnd = random.Random(11)
+    made = ["\n".join(rnd.choice([str(rnd.random()), "again", "", " "]) for _ in range(rnd.randrange(2, 14))) for _ in range(200)]
+    whole = sorted({t for t in made if t.strip()})
+    out = line_dedup.line_dedup(frame(spark, list(enumerate(whole + whole))).repartition(3)).where(f"doc_id >= {len(whole)}").collect()
+    assert len(out) == len(whole) and all(r["text"] == "" and r["n_removed_lines"] == r["n_lines"] for r in out)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "d", "e", "", " "]), min_size=2, max_size=30))
+def test_line_chunks_can_all_go(body):
+    lines, spans = line_dedup.chunk_texts("\n".join(body))
+    assert spans[0][0] == 0 and spans[-1][1] == len(lines) and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+    assert all(line_dedup.removable(lines, a, b) for a, b in spans) or not "".join(body).strip()
