@@ -15,15 +15,21 @@ from strandlake.llm.common import Stored, join_hot
 def chunk_ends(lines: list[str]) -> list[int]:
     """Line numbers after which a chunk ends.
 
-    A boundary follows a line whose hash is less than those of the lines beside it, so a chunk has two
-    lines at least, and the lines added before a passage do not move its boundaries. None follows two
-    blank lines or leaves only blank ones, so each chunk of a text with a word has one.
+    A boundary follows each line whose hash is less than those of the lines beside it. From there, and
+    from the end of the text, boundaries go up in steps of two lines while a chunk of two is left, also
+    through runs of equal lines. Lines added before a passage do not move its boundaries. None follows
+    two blank lines or leaves only blank ones, so each chunk of a text with a word has one.
     """
+    n = len(lines)
     h = [xxhash.xxh3_64_intdigest(x) for x in lines]
     blank = [not x or x.isspace() for x in lines]
     worded = max((i for i, x in enumerate(blank) if not x), default=0)
-    ends = [i + 1 for i in range(1, min(len(lines) - 2, worded)) if h[i - 1] > h[i] < h[i + 1] and not (blank[i - 1] and blank[i])]
-    return [*ends, len(lines)]
+    low = [0 < i < n - 1 and h[i - 1] > h[i] < h[i + 1] for i in range(n)]
+    ends = [n]
+    for i in range(min(n - 2, worded) - 1, 0, -1):
+        if (low[i] or (ends[-1] - i > 2 and not low[i - 1])) and not (blank[i - 1] and blank[i]):
+            ends.append(i + 1)
+    return ends[::-1]
 
 
 def chunk_texts(text: str) -> tuple[list[str], list[tuple[int, int]]]:

@@ -203,3 +203,19 @@ def test_line_chunks_can_all_go(body):
     lines, spans = line_dedup.chunk_texts("\n".join(body))
     assert spans[0][0] == 0 and spans[-1][1] == len(lines) and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
     assert all(line_dedup.removable(lines, a, b) for a, b in spans) or not "".join(body).strip()
+
+
+def test_line_dedup_finds_passages_and_runs(spark):
+    """A line repeated in one text goes but for a few; shared passages of eight lines mostly go."""
+    import random
+
+    rnd = random.Random(12)
+    fresh = lambda n: [f"line {rnd.random()}" for _ in range(n)]
+    rows = []
+    for k in range(100):
+        passage = fresh(8)
+        rows += [(2 * k, "\n".join(fresh(3) + passage + fresh(3))), (2 * k + 1, "\n".join(fresh(4) + passage + fresh(2)))]
+    rows += [(1000 + k, "\n".join([*fresh(3), *[f"same {k}"] * (40 + k % 2), *fresh(3)])) for k in range(20)]
+    out = {r["doc_id"]: r["n_removed_lines"] for r in line_dedup.line_dedup(frame(spark, rows).repartition(3)).collect()}
+    assert all(out[2 * k] == 0 for k in range(100)) and sum(out[2 * k + 1] for k in range(100)) > 0.6 * 800
+    assert all(out[1000 + k] >= 34 for k in range(20))
