@@ -41,7 +41,7 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, whole: bool = False) -> DataFrame:
     """Shard and slot of every document, in Hilbert order of (size, language, source).
 
     Law ``rows``: the ordered rows are cut into runs whose lengths differ by one at most. Sizes are
@@ -50,11 +50,13 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     that neither a common cell nor a group of equal texts lands in one task. Ranks come from the
     partitions' row counts. Null text: size 1, checksum 0. Null language or source: a value of its
     own. Equal texts follow each other within a cell. A null doc_id stays null; repeated rows each
-    get a slot; other columns are pruned; an empty table gives no rows.
+    get a slot; an empty table gives no rows. Other columns are pruned, or with ``whole`` travel along in
+    a struct ``row``.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs["text"], F.lit(""))
     cell = lambda c: F.pmod(F.crc32(F.coalesce(docs[c], F.lit("\x00"))), F.lit(1 << BITS))
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole else []
     d = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
@@ -62,6 +64,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         cell("lang").alias("c_lang"),
         cell("source").alias("c_source"),
         F.monotonically_increasing_id().alias("tie"),
+        *row,
     )
     @F.pandas_udf("long")
     def curve(size: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
@@ -91,11 +94,14 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     ranked = ranked.withColumn("shard", s.cast("int"))
     start = F.when(F.col("shard") < r, F.col("shard") * (q + 1)).otherwise(long_runs + (F.col("shard") - r) * q)
     return ranked.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve"
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve", *(["row"] if whole else [])
     )
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Documents as files, one folder per shard, each in slot order for pruning by min and max."""
-    keyed = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
+    """Documents as files, one folder per shard, each in slot order for pruning by min and max.
+
+    Rows travel with their placement, so each is written once, whatever its doc_id.
+    """
+    keyed = shard(docs, shards, whole=True).select("row.*", "shard", "slot")
     keyed.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -87,6 +87,17 @@ def test_shards(spark, tmp_path):
     assert hilbert_shards.shard(frame(spark, [])).count() == 0 and hilbert_shards.shard(frame(spark, rows[:3])).count() == 3
 
 
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(texts(40))] + [(5, "again"), (5, "again"), (5, "other"), (None, "x"), (None, "x"), (None, None)]
+    docs = frame(spark, rows).repartition(3)
+    hilbert_shards.write_shards(docs, str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, out.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    placed = hilbert_shards.shard(docs).select("doc_id", "shard", "slot").collect()
+    assert len({(r["shard"], r["slot"]) for r in out.collect()}) == len(rows)
+    assert sorted(map(str, out.select("doc_id", F.col("shard"), "slot").collect())) == sorted(map(str, placed))
+
+
 def test_classifier_on_held_out_rows(spark):
     out = quality_classifier.quality_scores(table(spark, SF, "documents"), table(spark, SF, "labels")).join(table(spark, SF, "labels"), "doc_id").where("held_out").collect()
     right = sum(r["predicted"] == r["quality"] for r in out)
