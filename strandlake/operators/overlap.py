@@ -46,10 +46,16 @@ def dedup_frequency(lists: DataFrame) -> DataFrame:
 
 
 def closest(lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The nearest node (node_id, content) of each list that shares an id with one: first of the smallest id."""
+    """The nearest node (node_id, content) of each list: of equal ones the smallest id.
+
+    A list that shares no id with a node gets the smallest node at distance 1. Without nodes there are no rows.
+    """
     sets = contents(lists).withColumn("n", F.size("content"))
     tree = nodes.select("node_id", F.explode("content").alias("doc"), F.size("content").alias("m"))
     hits = sets.select("idx", "n", F.explode("content").alias("doc")).join(tree, "doc").groupBy("idx", "n", "node_id", "m").count()
     d = hits.withColumn("dist", F.round(distance(scale(F.col("count") / F.greatest("n", "m"))), 9))
     w = Window.partitionBy("idx").orderBy("dist", "node_id")
-    return d.withColumn("r", F.row_number().over(w)).where("r = 1").select("idx", "node_id", "dist")
+    near = d.withColumn("r", F.row_number().over(w)).where("r = 1").select("idx", "node_id", "dist")
+    first = F.broadcast(nodes.agg(F.min("node_id").alias("first")).where("first is not null"))  # one row
+    every = sets.select("idx").distinct().join(near, "idx", "left").crossJoin(first)
+    return every.select("idx", F.coalesce("node_id", "first").alias("node_id"), F.coalesce("dist", F.lit(1.0)).alias("dist"))

@@ -92,6 +92,13 @@ def test_solver_is_optimal():
     assert placement.solve(many, [(i, 1, [i]) for i in many], 5, room)[3] == "feasible" and a
 
 
+def test_closest_answers_every_list(spark):
+    new = lists(spark, [[1, 2], [9], []])
+    nodes = spark.createDataFrame([(5, [1, 2]), (7, [1, 2, 3]), (4, [3])], "node_id long, content array<long>")
+    assert sorted(map(tuple, overlap.closest(new, nodes).collect())) == [(0, 5, 0.0), (1, 4, 1.0), (2, 4, 1.0)]
+    assert overlap.closest(new, nodes.limit(0)).count() == 0
+
+
 def test_jsonl(spark, tmp_path):
     p = tmp_path / "x.jsonl"
     p.write_text('{"chunk_id": 1, "text": "a"}\n\nnot json\n{"chunk_id": 1, "text": "b"}\n')
