@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 
 from pyspark.sql import DataFrame, Window
@@ -37,7 +38,8 @@ def _total(assign, nodes, leaves, k, length):
 def solve(nodes: dict[int, int], leaves: list[tuple[int, int, list[int]]], k: int, capacity: dict[str, float], length: int = 1200, exact_up_to: int = 8):
     """(assignment, routing, cost, status). nodes: id -> size; leaves: (id, frequency, [id, *ancestors]).
 
-    Small trees are solved exactly, larger ones greedily by saving per byte, with status ``feasible``.
+    Small trees are solved by exhaustive search, larger ones greedily by saving per byte and then by local
+    search, with status ``feasible``.
     """
     room = {t: int(capacity[t] * 1024**3 // BLOCK_BYTES) for t in TIERS[:3]}
     ids = sorted(nodes)
@@ -50,22 +52,105 @@ def solve(nodes: dict[int, int], leaves: list[tuple[int, int, list[int]]], k: in
                 if best is None or cost < best[2] - 1e-12:
                     best = (a, route, cost, "optimal")
         return best
-    a = dict.fromkeys(ids, "not_stored")
-    demand = dict.fromkeys(ids, 0)
-    for _, freq, path in leaves:
-        for s in path:
-            demand[s] += freq
-    used = dict.fromkeys(room, 0)
-    for i in sorted(ids, key=lambda i: (-demand[i], i)):
-        for t in TIERS[:3]:
-            if used[t] + nodes[i] <= room[t]:
-                a[i] = t
-                used[t] += nodes[i]
-                break
+    a = _improved(nodes, leaves, k, length, room)
     cost, route = _total(a, nodes, leaves, k, length)
     return a, route, cost, "feasible"
 
 
+def _improved(nodes, leaves, k, length, room):
+    """Tier of each node: first by saving per byte, then by moves until none saves more.
+
+    Moves: one node; two, one making room; a node for the least useful ones of a tier, with the room filled again.
+    """
+    ids = sorted(nodes)
+    unit = {i: {t: node_cost(nodes[i], t, k, length) for t in TIERS} for i in ids}
+    a = dict.fromkeys(ids, "not_stored")
+    used = dict.fromkeys(TIERS, 0)
+    room = room | {"not_stored": float("inf")}
+    below = {i: [] for i in ids}
+    for n, (_, _, path) in enumerate(leaves):
+        for s in set(path):
+            below[s].append(n)
+    now = [min(unit[s]["not_stored"] for s in path) for _, _, path in leaves]
+
+    def saving(change):
+        touched = {n for i in change for n in below[i]}
+        return sum(leaves[n][1] * (now[n] - min(unit[s][change.get(s, a[s])] for s in leaves[n][2])) for n in touched)
+
+    def fits(change):
+        after = dict(used)
+        for i, t in change.items():
+            after[a[i]] -= nodes[i]
+            after[t] += nodes[i]
+        return all(after[t] <= room[t] for t in change.values())
+
+    def apply(change):
+        for i, t in change.items():
+            used[a[i]] -= nodes[i]
+            used[t] += nodes[i]
+            a[i] = t
+        for n in {n for i in change for n in below[i]}:
+            now[n] = min(unit[s][a[s]] for s in leaves[n][2])
+
+    def entry(i, t):
+        return (-saving({i: t}) / max(nodes[i], 1e-9), i, TIERS.index(t))
+
+    def fill():
+        heap = [entry(i, t) for i in ids if a[i] == "not_stored" for t in TIERS[:3]]
+        heapq.heapify(heap)
+        while heap:  # savings only shrink as others are stored, so an entry that is still first is the best
+            was, i, t = heapq.heappop(heap)
+            change = {i: TIERS[t]}
+            if a[i] != "not_stored" or not fits(change):
+                continue
+            again = entry(i, TIERS[t])
+            if again[0] > -1e-12:
+                continue
+            if again[0] > was + 1e-12:
+                heapq.heappush(heap, again)
+            else:
+                apply(change)
+
+    def total():
+        return sum(freq * c for (_, freq, _), c in zip(leaves, now, strict=True))
+
+    def step():
+        for i in ids:
+            for t in sorted(TIERS, key=unit[i].get):
+                if unit[i][t] >= unit[i][a[i]] or saving({i: t}) <= 1e-9:
+                    break
+                if fits({i: t}):
+                    return {i: t}
+                for j in ids:  # a node that makes room for it, and goes elsewhere
+                    if j != i and a[j] == t:
+                        for u in TIERS:
+                            pair = {i: t, j: u}
+                            if u != t and fits(pair) and saving(pair) > 1e-9:
+                                return pair
+        return None
+
+    def forced(i, t):
+        """Node i on tier t, the least useful nodes there leave, and all room is filled again: kept if it saves."""
+        before, cost = dict(a), total()
+        for j in sorted((j for j in ids if a[j] == t), key=lambda j: (saving({j: "not_stored"}) / -max(nodes[j], 1e-9), j)):
+            if fits({i: t}):
+                break
+            apply({j: "not_stored"})
+        apply({i: t})
+        fill()
+        if total() < cost - 1e-9:
+            return True
+        apply({j: before[j] for j in ids if a[j] != before[j]})
+        return False
+
+    fill()
+    while True:
+        if change := step():
+            apply(change)
+        elif not any(forced(i, t) for i in ids for t in TIERS[:3] if nodes[i] <= room[t] and unit[i][t] < unit[i][a[i]]):
+            return a
+
+
 def utilization(assigned: DataFrame, capacity_gb: dict[str, float]) -> DataFrame:
     """Per tier: nodes, used bytes and share of capacity; assigned (node_id, size, storage)."""
     cap = F.create_map(*[x for t, g in capacity_gb.items() for x in (F.lit(t), F.lit(float(g)))])

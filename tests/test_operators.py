@@ -92,6 +92,33 @@ def test_solver_is_optimal():
     assert placement.solve(many, [(i, 1, [i]) for i in many], 5, room)[3] == "feasible" and a
 
 
+def random_trees(n=25):
+    rnd = random.Random(4)
+    for _ in range(n):
+        inner, outer = rnd.randrange(1, 3), rnd.randrange(3, 5)
+        nodes = {i: rnd.randrange(1, 4) for i in range(inner)} | {i: rnd.randrange(3, 11) for i in range(inner, inner + outer)}
+        leaves = [(i, rnd.randrange(1, 30), [i, rnd.randrange(inner)]) for i in range(inner, inner + outer)]
+        yield nodes, leaves, {t: rnd.randrange(1, 12) * costs.BLOCK_BYTES / 1024**3 + 1e-6 for t in placement.TIERS[:3]}
+
+
+def test_greedy_is_near_the_optimum():
+    gaps = []
+    for nodes, leaves, room in random_trees():
+        best, (a, _, cost, status) = placement.solve(nodes, leaves, 10, room), placement.solve(nodes, leaves, 10, room, exact_up_to=0)
+        none = sum(freq for _, freq, _ in leaves) * placement.node_cost(0, "not_stored", 10)
+        assert status == "feasible" and cost >= best[2] - 1e-9
+        assert all(sum(nodes[i] for i in nodes if a[i] == t) <= int(room[t] * 1024**3 // costs.BLOCK_BYTES) for t in room)
+        gaps.append((cost - best[2]) / (none - best[2]))
+    assert sum(gaps) / len(gaps) < 0.02 and max(gaps) < 0.15
+
+
+def test_large_node_does_not_displace_many_small_ones():
+    nodes = {0: 40} | {i: 4 for i in range(1, 11)}
+    leaves = [(i, 11 if i == 0 else 10, [i]) for i in nodes]
+    a, _, _, status = placement.solve(nodes, leaves, 10, {"gpu": 40 * costs.BLOCK_BYTES / 1024**3 + 1e-6, "dram": 0, "disk": 0})
+    assert status == "feasible" and [i for i in nodes if a[i] == "gpu"] == list(range(1, 11))
+
+
 def test_closest_answers_every_list(spark):
     new = lists(spark, [[1, 2], [9], []])
     nodes = spark.createDataFrame([(5, [1, 2]), (7, [1, 2, 3]), (4, [3])], "node_id long, content array<long>")
