@@ -32,8 +32,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 100 bytes that start earlier; one with nothing left goes."""
-    out = suffix_dedup(docs).where("text <> ''")
+    """Documents without strings of 100 bytes that start earlier; one that consisted of them goes."""
+    had = docs.withColumn("had_text__", F.coalesce(F.col("text") != "", F.lit(False)))
+    out = suffix_dedup(had).where("not had_text__ or text <> ''")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

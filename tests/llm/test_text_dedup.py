@@ -219,3 +219,13 @@ def test_line_dedup_finds_passages_and_runs(spark):
     out = {r["doc_id"]: r["n_removed_lines"] for r in line_dedup.line_dedup(frame(spark, rows).repartition(3)).collect()}
     assert all(out[2 * k] == 0 for k in range(100)) and sum(out[2 * k + 1] for k in range(100)) > 0.6 * 800
     assert all(out[1000 + k] >= 34 for k in range(20))
+
+
+def test_suffix_stage_keeps_rows_it_took_nothing_from(spark):
+    import corpus_pipeline
+
+    block = "".join(chr(97 + k * k % 26) + str(k) for k in range(100))
+    rows = [(1, block), (2, block), (3, None), (4, ""), (None, ""), (None, None)]
+    out = corpus_pipeline.suffixes(spark, frame(spark, rows), "")
+    assert out.columns == frame(spark, rows).columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, (r for r in rows if r[0] != 2)))
