@@ -63,14 +63,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
 
+#: Rows of one key that a task takes without harm.
+KEY_ROWS = 100_000
+
+
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "inner", share: int = 1000) -> DataFrame:
     """``left`` joined with ``right``, whose keys are unique and whose ``n`` counts the key's rows in ``left``.
 
-    A key with more than one in ``share`` of the ``total`` rows meets its row by broadcast, where its rows
-    lie: there are fewer than ``share`` such keys, whatever the data. All other keys are shuffled. ``right``
-    should be stored, as it is read three times. ``how`` is inner or left; keys of ``left`` are not null.
+    A key with more than ``KEY_ROWS`` and more than one in ``share`` of the ``total`` rows meets its row
+    by broadcast, where its rows lie: there are fewer than ``share`` such keys, whatever the data. All
+    other keys are shuffled, and without hot keys the join is a plain one. ``right`` should be stored, as
+    it is read up to four times. ``how`` is inner or left; keys of ``left`` are not null.
     """
-    hot = right["n"] * share > total
+    hot = right["n"] > max(total // share, KEY_ROWS)
+    if right.where(hot).isEmpty():
+        return left.join(right, keys, how)
     few = F.broadcast(right.where(hot))
     return left.join(few, keys).unionByName(left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys, how))
 

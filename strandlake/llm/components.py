@@ -26,44 +26,58 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes, nodes[root]
 
 
+#: Edges that one task contracts at a time.
+TASK_EDGES = 1_000_000
+
+
 def _contract(batches):
     """A partition's edges as stars around their smallest nodes: never more rows than nodes."""
-    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+    held, size, most = [], 0, TASK_EDGES
     for batch in batches:
-        a = np.concatenate([a, batch.column(0).to_numpy(zero_copy_only=False)])
-        b = np.concatenate([b, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(a) > 1_000_000:
-            a, b = local_roots(a, b)
-    nodes, roots = local_roots(a, b)
-    other = nodes != roots
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(roots[other])], names=["u", "v"])
+        held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]))
+        size += batch.num_rows
+        if size > most:
+            held = [np.stack(local_roots(*np.concatenate(held, axis=1)))]
+            size = held[0].shape[1]
+            most = size + TASK_EDGES
+    if held:
+        nodes, roots = local_roots(*np.concatenate(held, axis=1))
+        other = nodes != roots
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(roots[other])], names=["u", "v"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node reachable.
 
-    ``edges`` has two long columns. Each partition first contracts its own edges; then large-star and
-    small-star rounds (Kiveris et al. 2014) run until nothing changes, each written to the shared
-    folder. Minima are pre-aggregated and joined back, so the hub of a star is
+    ``edges`` has two long columns. Tasks contract their own edges, as many tasks as the edges need at
+    ``TASK_EDGES`` each. Where one task was enough, that is the result. Else rounds of large-star and
+    small-star (Kiveris et al. 2014) run, each written to the shared folder, until nothing changes or
+    the edges left fit one task. Minima are pre-aggregated and joined back, so the hub of a star is
     never gathered, and its rows meet its minimum where they lie.
     Null ends and loops are ignored; no edges give no rows.
     """
     a, b = edges.columns
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b)))
-    old = Stored(e.mapInArrow(_contract, "u long, v long"), "components")
-    e, seen = old.df, None
-    while True:
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
-        low = Stored(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"), F.count_if(F.col("y") > F.col("x")).alias("n")), "minima")
-        large = join_hot(both.where("y > x"), low.df, ["x"], e.count()).where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        new = Stored(small, "components")
-        now = new.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        old.drop()
-        low.drop()
-        e, old = new.df, new
-        if tuple(now) == seen:
+    ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b))
+    tasks = edges.count() // TASK_EDGES + 1
+    old = Stored(ends.coalesce(tasks).mapInArrow(_contract, "u long, v long"), "components")
+    seen = None
+    while tasks > 1:
+        e = old.df
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seen:
             break
-        seen = tuple(now)
+        seen, tasks = now, now[0] // TASK_EDGES + 1
+        if tasks == 1:
+            new = Stored(e.coalesce(1).mapInArrow(_contract, "u long, v long"), "components")
+        else:
+            both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
+            low = Stored(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("m"), F.count_if(F.col("y") > F.col("x")).alias("n")), "minima")
+            large = join_hot(both.where("y > x"), low.df, ["x"], now[0]).where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+            new = Stored(small, "components")
+            low.drop()
+        old.drop()
+        old = new
+    e = old.df
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

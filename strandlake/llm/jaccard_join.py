@@ -8,6 +8,9 @@ token and group, bounds over the group's members (sizes, positions, components);
 group only where the bound on their overlap allows a link to another component. An opened group stores
 the union of its members' tokens: a query that shares too few of them is done, and the others get their
 overlaps with all members at once.
+
+A token that many documents hold is dealt over all buckets, each with a leader of its own; these leaders
+are verified against the smallest of them, and the matrix joins the token's entries again.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ WORDS = 5
 NUM, DEN = 4, 5
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SLICES = 64
+SLICE = 1024
 BLOCK = 256
+#: A token is hot beyond this many documents and ``HOT_TIMES`` the mean of the table of counts.
+HOT, HOT_TIMES, HOT_LEVEL = 500_000, 64, 255
+#: Entries of a token that meet the matrix in one task.
+SPLIT = 20_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -62,8 +69,8 @@ def prefix_length(n: int) -> int:
 
 
 def sketch_bits(n_bytes: int) -> int:
-    """Size of the table of token counts: about 32 tokens an entry, 2**24 entries at most."""
-    return min(24, max(12, (n_bytes // (6 * 32)).bit_length()))
+    """Size of the table of token counts: about 32 tokens an entry, 2**22 entries at most."""
+    return min(22, max(12, (n_bytes // (6 * 32)).bit_length()))
 
 
 def slots(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -84,32 +91,46 @@ def _sets(docs: DataFrame, bits: int) -> Stored:
                 np.add.at(counts, slots(tokens, bits), 1)
             size = len(n)
             yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([None] * size, pa.binary())], names=["kind", "doc_id", "n", "node", "counts"])
-        if counts.any():
-            rows = [r.tobytes() for r in np.minimum(counts, 65535).astype(np.uint16).reshape(SLICES, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * SLICES, pa.int32()), pa.array(range(SLICES), pa.int64()), pa.array([0] * SLICES, pa.int64()), pa.array([None] * SLICES, pa.int64()), pa.array(rows, pa.binary())], names=["kind", "doc_id", "n", "node", "counts"])
+        rows = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, SLICE)
+        at = np.flatnonzero(rows.any(axis=1))
+        if len(at):
+            void = [None] * len(at)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(at), pa.int32()), pa.array(at), pa.array([0] * len(at), pa.int64()), pa.array(void, pa.int64()), pa.array([rows[k].tobytes() for k in at], pa.binary())], names=["kind", "doc_id", "n", "node", "counts"])
 
     return Stored(docs.mapInArrow(run, "kind int, doc_id long, n long, node long, counts binary"), "sets")
 
 
-def _rarity(stored: DataFrame, bits: int) -> np.ndarray:
-    """Order classes of tokens by document count: a table of bounded size (16 MB), summed by slice.
+def _rarity(stored: DataFrame, bits: int, tokens: int, n: int) -> np.ndarray:
+    """Order classes of tokens by document count: a table of bounded size (4 MB), summed by slice.
 
-    A partition's counts are cut at 65,535: any order of tokens gives the same result.
+    A slice's rows, one a scan partition, are added up as they stream by. A partition's counts are cut at
+    65,535: any order of tokens gives the same result. Level ``HOT_LEVEL`` marks hot tokens.
     """
+    hot = max(HOT, HOT_TIMES * (tokens >> bits))
 
-    def add(key, t):
-        total = sum(np.frombuffer(r, np.uint16).astype(np.uint64) for r in t.column("counts").to_pylist())
-        level = np.minimum(8 * np.log2(1 + total.astype(float)), 255).astype(np.uint8)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "level": pa.array([level.tobytes()], pa.binary())})
+    def add(batches):
+        for group in keyed_runs(batches, 1):
+            total = np.zeros(SLICE, np.int64)
+            for batch in group:
+                for r in batch.column(1).to_pylist():
+                    total += np.frombuffer(r, np.uint16)
+            level = np.minimum(8 * np.log2(1 + total), HOT_LEVEL - 1).astype(np.uint8)
+            level[total > hot] = HOT_LEVEL
+            yield pa.RecordBatch.from_arrays([group[0].column(0).slice(0, 1), pa.array([level.tobytes()], pa.binary())], names=["slice", "level"])
 
-    rows = stored.where("kind = 1").select(F.col("doc_id").alias("slice"), "counts").groupBy("slice").applyInArrow(add, "slice long, level binary").collect()
-    by = {r["slice"]: bytes(r["level"]) for r in rows}
-    empty = bytes((1 << bits) // SLICES)
-    return np.frombuffer(b"".join(by.get(s, empty) for s in range(SLICES)), np.uint8)
+    rows = stored.where("kind = 1").select(F.col("doc_id").alias("slice"), "counts")
+    dealt = rows.repartition(n, "slice").sortWithinPartitions("slice")
+    level = np.zeros(((1 << bits) // SLICE, SLICE), np.uint8)
+    for r in dealt.mapInArrow(add, "slice long, level binary").collect():
+        level[r["slice"]] = np.frombuffer(r["level"], np.uint8)
+    return level.ravel()
 
 
 def _messages(docs: DataFrame, rarity: np.ndarray, buckets: int) -> DataFrame:
-    """Prefixes of distinct sets, packed per bucket of tokens: token, node, size, position."""
+    """Prefixes of distinct sets, packed per bucket of tokens: token, node, size, position.
+
+    The bucket of a hot token depends on the node as well.
+    """
 
     bits = len(rarity).bit_length() - 1
 
@@ -118,11 +139,12 @@ def _messages(docs: DataFrame, rarity: np.ndarray, buckets: int) -> DataFrame:
         lens = [len(t) for t in tokens]
         pos = np.concatenate([np.arange(k, dtype=np.uint32) for k in lens])
         who = np.repeat(np.arange(len(lens), dtype=np.uint32), lens)
-        bucket = (token % np.uint64(buckets)).astype(np.int64)
+        node, size = np.array(node, np.int64), np.array(size, np.uint32)
+        hot = rarity[slots(token, bits)] == HOT_LEVEL
+        bucket = (np.where(hot, token ^ mixed(node[who].view(np.uint64)), token) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         token, pos, who, bucket = token[order], pos[order], who[order], bucket[order]
         cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
-        node, size = np.array(node, np.int64), np.array(size, np.uint32)
         cols: list[list] = [[], [], [], []]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             used, local = np.unique(who[a:b], return_inverse=True)
@@ -155,12 +177,13 @@ def _messages(docs: DataFrame, rarity: np.ndarray, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket long, tokens binary, places binary, nodes binary")
 
 
-def _lists(messages: DataFrame, n: int) -> DataFrame:
-    """Tokens of two or more nodes. kind 0: leader and node to verify; kind 1: entries for the matrix.
+def _lists(messages: DataFrame, rarity: np.ndarray, n: int) -> DataFrame:
+    """Tokens of two or more nodes. kind 0: leader and node to verify; kind 1: entries for the matrix; kind 2: a hot token's leader here.
 
     A token's leader is its smallest node; where sizes and positions rule a pair out, it is no pair.
-    Lists of two need no matrix: their only pair is tested here.
+    Lists of two need no matrix: their only pair is tested here. Entries of a hot token all go on.
     """
+    bits = len(rarity).bit_length() - 1
 
     def run(batches):
         for group in keyed_runs(batches, 1):
@@ -184,16 +207,18 @@ def _lists(messages: DataFrame, n: int) -> DataFrame:
             lead = np.repeat(first, count)
             length = np.repeat(count, count)
             both = np.flatnonzero((lead != np.arange(len(lead))) & _possible(size[lead], pos[lead], size, pos))
-            pairs, which = np.unique(np.stack([node[lead[both]], node[both]], axis=1), axis=0, return_inverse=True)
-            only, many = (np.bincount(which.ravel(), part, len(pairs)).astype(np.int64) for part in (length[both] == 2, length[both] > 2))
-            rest = np.flatnonzero(length > 2)
+            pairs = np.unique(np.stack([node[lead[both]], node[both]], axis=1), axis=0)
+            hot = rarity[slots(token, bits)] == HOT_LEVEL
+            rest = np.flatnonzero((length > 2) | hot)
+            top = first[hot[first]]
+            kind = np.repeat(np.arange(3, dtype=np.int32), [len(pairs), len(rest), len(top)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.r_[np.zeros(len(pairs), np.int32), np.ones(len(rest), np.int32)].astype(np.int32)),
-                    pa.array(np.r_[pairs[:, 0], token[rest].view(np.int64)]),
-                    pa.array(np.r_[pairs[:, 1], node[rest]]),
-                    pa.array(np.r_[only, size[rest]]),
-                    pa.array(np.r_[many, pos[rest]]),
+                    pa.array(kind),
+                    pa.array(np.r_[pairs[:, 0], token[rest].view(np.int64), token[top].view(np.int64)]),
+                    pa.array(np.r_[pairs[:, 1], node[rest], node[top]]),
+                    pa.array(np.r_[np.zeros(len(pairs), np.int64), size[rest], size[top]]),
+                    pa.array(np.r_[np.zeros(len(pairs), np.int64), pos[rest], pos[top]]),
                 ],
                 names=["kind", "a", "b", "size", "pos"],
             )
@@ -229,12 +254,12 @@ def _compared(opens: DataFrame, members: DataFrame, texts: DataFrame, n: int) ->
     whole texts, and is compared through its union of tokens. A block gives a forest of its links.
     """
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("long")
-    size = opens.groupBy("g").agg(F.count("*").alias("nq")).join(members.groupBy("g").agg(F.count("*").alias("nm")), "g")
-    size = size.select("g", blocks("nq").alias("qs"), blocks("nm").alias("ms"))
+    size = Stored(opens.groupBy("g").agg(F.count("*").alias("nq")).join(members.groupBy("g").agg(F.count("*").alias("nm")), "g"), "sizes").df
+    of = lambda c: size.select("g", F.col(c).alias("n"), blocks("nq").alias("qs"), blocks("nm").alias("ms"))
     place = lambda c, k: F.pmod(F.xxhash64(c), F.col(k))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
-    left = opens.join(size, "g").select("g", place("q", "qs").alias("i"), every("ms").alias("j"), F.lit(1).alias("role"), F.col("q").alias("node"))
-    right = members.join(size, "g").select("g", every("qs").alias("i"), place("x", "ms").alias("j"), F.lit(0).alias("role"), F.col("x").alias("node"))
+    left = join_hot(opens, of("nq"), ["g"], opens.count()).select("g", place("q", "qs").alias("i"), every("ms").alias("j"), F.lit(1).alias("role"), F.col("q").alias("node"))
+    right = join_hot(members, of("nm"), ["g"], members.count()).select("g", every("qs").alias("i"), place("x", "ms").alias("j"), F.lit(0).alias("role"), F.col("x").alias("node"))
     rows = left.union(right).join(texts, "node").select("g", "i", "j", "role", "node", "text")
 
     def run(batches):
@@ -273,7 +298,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     Exact: no candidate is capped or sampled. A null text or one without words has an empty set and
     links with nothing; a text of under five words is one shingle. Equal sets link whatever the order
     of their words. A row with a null doc_id links with nothing and is kept. Rows that repeat a doc_id
-    repeat its result. Other columns are ignored; an empty table gives no rows.
+    repeat its result. Other columns are ignored; an empty table gives no rows. The rows are stored; all
+    other tables are dropped.
     """
     spark = docs.sparkSession
     done: list[Stored] = []
@@ -284,15 +310,20 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     bits = sketch_bits(text_bytes(docs))
-    stored = _sets(docs, bits).df
+    done.append(_sets(docs, bits))
+    stored = done[-1].df
     sets = stored.where("kind = 0").select("doc_id", "n", "node")
-    reps = Stored(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")), "reps").df
-    entries = (sets.agg(F.sum("n")).first()[0] or 0) / DEN
-    n = parts(spark, entries, 500_000)
-    lists = store(_lists(_messages(docs, _rarity(stored, bits), 4 * n), n), "lists")
-    first = lists.where("kind = 0").select("a", "b").distinct()
+    reps = store(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")), "reps")
+    tokens, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n = parts(spark, tokens / DEN, 500_000)
+    rarity = _rarity(stored, bits, tokens, n)
+    lists = store(_lists(_messages(docs, rarity, 4 * n), rarity, n), "lists")
+    tops = lists.where("kind = 2").select("a", "b")
+    top = tops.groupBy("a").agg(F.min("b").alias("lead"))
+    between = tops.join(top, "a").where("b <> lead").select(F.col("lead").alias("a"), "b")
+    first = store(lists.where("kind = 0").select("a", "b").union(between).distinct(), "first")
     rest = lists.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "pos")
-    wanted = first.select("a").union(first.select("b")).union(rest.select("node")).distinct().withColumnRenamed("a", "node")
+    wanted = first.select(F.col("a").alias("node")).union(first.select("b")).union(rest.select("node")).distinct()
     wanted = wanted.join(reps, "node").select("node", F.col("rep").alias("doc_id"))
     found = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
     texts = store(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
@@ -309,30 +340,35 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     member = store(rest.join(group, "node"), "entries")
     several = member.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     several = store(several.where("lo < hi").select("token", "n"), "several")
-    member = store(join_hot(member, several, ["token"], member.count()).drop("n"), "matrix")
-    tail = F.col("size") - F.col("pos") - 1
-    bounds = {"least": F.min("size"), "most": F.max("size"), "far": F.max("pos"), "tail": F.max(tail), "lo": F.min("label"), "hi": F.max("label")}
-    matrix = member.groupBy("token", "g").agg(*[v.alias(k) for k, v in bounds.items()])
-    query = member.select("token", F.col("node").alias("q"), F.col("size").alias("qn"), F.col("pos").alias("qi"), F.col("g").alias("qg"), F.col("label").alias("ql"))
-    fits = (NUM * F.col("qn") <= DEN * F.col("most")) & (NUM * F.col("least") <= DEN * F.col("qn"))
-    other = (F.col("lo") != F.col("ql")) | (F.col("hi") != F.col("ql"))
-    bound = F.least("qi", "far") + 1 + F.least(F.col("qn") - F.col("qi") - 1, F.col("tail"))
-    needed = F.ceil(NUM * (F.col("qn") + F.greatest(F.col("least"), NUM * F.col("qn") / DEN)) / (NUM + DEN) - F.lit(1e-6))
-    opened = query.join(matrix, "token").where((F.col("g") <= F.col("qg")) & fits & other & (bound >= needed)).select("g", "q").distinct()
-    opened = store(opened, "opened")
-    inside = group.select("g", F.col("node").alias("x")).join(opened.select("g").distinct(), "g")
-    more = store(_compared(opened, inside, texts, n), "more")
     groups = labels
-    if not more.isEmpty():
-        groups = components(more.union(labels.select("node", "component")))
+    if not several.isEmpty():
+        member = store(join_hot(member, several, ["token"], member.count()), "matrix")
+        tail = F.col("size") - F.col("pos") - 1
+        bounds = {"least": F.min("size"), "most": F.max("size"), "far": F.max("pos"), "tail": F.max(tail), "lo": F.min("label"), "hi": F.max("label")}
+        # a token of many entries meets its part of the matrix in several tasks
+        split = F.ceil(F.col("n") / SPLIT).cast("long")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), split - 1))
+        matrix = member.groupBy("token", "g", "n").agg(*[v.alias(k) for k, v in bounds.items()]).withColumn("part", every).drop("n")
+        query = member.select("token", F.pmod(F.xxhash64("node"), split).alias("part"), F.col("node").alias("q"), F.col("size").alias("qn"), F.col("pos").alias("qi"), F.col("g").alias("qg"), F.col("label").alias("ql"))
+        fits = (NUM * F.col("qn") <= DEN * F.col("most")) & (NUM * F.col("least") <= DEN * F.col("qn"))
+        other = (F.col("lo") != F.col("ql")) | (F.col("hi") != F.col("ql"))
+        bound = F.least("qi", "far") + 1 + F.least(F.col("qn") - F.col("qi") - 1, F.col("tail"))
+        needed = F.ceil(NUM * (F.col("qn") + F.greatest(F.col("least"), NUM * F.col("qn") / DEN)) / (NUM + DEN) - F.lit(1e-6))
+        opened = query.join(matrix, ["token", "part"]).where((F.col("g") <= F.col("qg")) & fits & other & (bound >= needed)).select("g", "q").distinct()
+        opened = store(opened, "opened")
+        inside = store(group.select("g", F.col("node").alias("x")).join(opened.select("g").distinct(), "g"), "inside")
+        more = store(_compared(opened, inside, texts, n), "more")
+        if not more.isEmpty():
+            groups = components(more.union(labels.select("node", "component")))
     named = store(reps.join(groups, "node", "left").select("node", "rep", "docs", F.coalesce("component", "node").alias("g")), "members")
     low = store(named.groupBy("g").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "low")
-    named = join_hot(named, low, ["g"], named.count()).select("node", "component_id", F.col("docs").alias("n"))
-    named = Stored(named, "named").df
-    for x in done:
-        x.drop()
-    known = join_hot(sets.where("node is not null").withColumnRenamed("n", "size"), named, ["node"], sets.count(), "left")
+    named = store(join_hot(named, low, ["g"], rows).select("node", "component_id", F.col("docs").alias("n")), "named")
+    known = join_hot(sets.where("node is not null").withColumnRenamed("n", "size"), named, ["node"], rows, "left")
     known = known.select("doc_id", F.col("size").alias("n"), "component_id")
     out = known.unionByName(sets.where("node is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
     found_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), found_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), found_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = Stored(out, "classes").df
+    for x in done:
+        x.drop()
+    return out

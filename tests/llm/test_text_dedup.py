@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.llm import jaccard_join, line_dedup, suffix_dedup
+from strandlake.llm import common, components, jaccard_join, line_dedup, suffix_dedup
 from tests.llm.corpus import frame, texts
 
 
@@ -148,6 +148,38 @@ def test_jaccard_chains_and_families(spark):
     assert got == brute_jaccard(rows)
 
 
+def test_jaccard_hot_tokens_and_split_work(spark, monkeypatch):
+    """Tokens dealt over all buckets, split matrix joins, small blocks, hot keys and star rounds give the same."""
+    for at, name, value in [(jaccard_join, "HOT", 3), (jaccard_join, "HOT_TIMES", 0), (jaccard_join, "SPLIT", 5), (jaccard_join, "BLOCK", 8), (common, "KEY_ROWS", 4), (components, "TASK_EDGES", 5)]:
+        monkeypatch.setattr(at, name, value)
+    base = [f"u{i}" for i in range(60)]
+    rows = list(enumerate(texts(60, seed=5)))
+    for k in range(80):
+        w = base.copy()
+        w[k * 7 % 60] = f"x{k}"
+        w[k * 11 % 60] = f"y{k % 9}"
+        rows.append((1000 + k, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_groups(frame(spark, rows).repartition(4)).collect()}
+    assert got == brute_jaccard(rows)
+
+
+@pytest.mark.parametrize("task_edges", [7, 1_000_000])
+def test_components(spark, monkeypatch, task_edges):
+    import random
+
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
+    rnd = random.Random(4)
+    pairs = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(500 + k, 501 + k) for k in range(40)] + [(900, 901 + k) for k in range(40)] + [(3, 3), (None, 4)]
+    low = {x: x for p in pairs for x in p if None not in p and p[0] != p[1]}
+    for _ in range(len(low)):
+        for a, b in pairs:
+            if a in low and b in low and a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    assert {(r["node"], r["component"]) for r in components.components(edges).collect()} == set(low.items())
+    assert components.components(edges.limit(0)).count() == 0
+
+
 def test_jaccard_odd_rows(spark):
     same = " ".join(f"w{i}" for i in range(30))
     out = jaccard_join.jaccard_groups(frame(spark, [(3, same), (3, same), (None, same), (5, same.upper())])).collect()
