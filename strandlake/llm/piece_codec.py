@@ -2,9 +2,10 @@
 
 A segmentation is what merging by score gives exactly if every two neighbours, merged alone, give
 themselves: the first merge across a boundary would be the same in the whole text and in the two
-pieces around it. The encoder takes the longest piece (found by an Aho-Corasick automaton) that is
-compatible with the one before it, shortens it when it is not, and steps back when nothing is left; a
-bitfield holds the positions from which no segmentation can go on, so each fails once.
+pieces around it. An Aho-Corasick automaton reads the text once and reports the pieces that end at each
+position, and so those that begin at each. The encoder takes the longest of them that is compatible with
+the one before it, a shorter one when it is not, and steps back when none is left; a bitfield holds the
+positions from which no segmentation can go on, so each fails once.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import DataFrame
 from strandlake.llm.common import slices
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 CACHE_PAIRS = 1_000_000
+#: Characters that the automaton reads at a time, and of the longest chunk that is kept.
+READ, KEPT = 4096, 1000
 SPACE = "▁"
 #: No piece goes on from another character into a space, and none holds a line feed: merges stay inside these.
 CHUNK = re.compile(" *[^ \n]+|\n| +")
@@ -50,11 +53,13 @@ class PieceCodec:
         self.width = max(map(len, self.id), default=1)
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
-            self.automaton.add_word(p, len(p))
+            if len(p) > 1:  # every letter begins at its own place
+                self.automaton.add_word(p, (p, len(p) - 1))
         self.automaton.make_automaton()
+        self.shown = {p: str(i) for p, i in self.id.items()}
         self.words: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.shorter: dict[str, str | None] = {}
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether the two, merged anew from characters, come out as they are."""
@@ -75,42 +80,53 @@ class PieceCodec:
             got = self.pairs[a, b] = symbols == ([a, b] if a else [b])
         return got
 
-    def prefix(self, piece: str) -> str | None:
-        """The longest shorter piece that it begins with."""
-        if piece not in self.shorter:
-            self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.id), None)
-        return self.shorter[piece]
-
-    def longest(self, text: str, pos: int) -> str:
-        """The longest piece at a position, by the automaton's walk from its root."""
-        found = text[pos : pos + self.automaton.longest_prefix(text[pos : pos + self.width])]
-        return found if found in self.id else self.prefix(found)
+    def beginning(self, text: str, low: int) -> list[list[str]]:
+        """For the ``READ`` positions from ``low``, the pieces that begin there, shortest first."""
+        high = min(len(text), low + READ)
+        found = [[c] for c in text[low:high]]
+        if not low and high == len(text):
+            for last, (piece, back) in self.automaton.iter(text):
+                found[last - back].append(piece)
+            return found
+        for last, (piece, back) in self.automaton.iter(text, low, min(len(text), high + self.width - 1)):
+            if last - back < high:
+                found[last - back - low].append(piece)
+        return found
 
     def segment(self, text: str) -> list[str]:
         """Pieces of a text all of whose characters are pieces."""
-        whole, pairs, failed, pos, before = len(text), self.pairs, 0, 0, ""
+        whole, pairs, pos, before = len(text), self.pairs, 0, ""
+        failed = bytearray(whole // 8 + 1)
+        block, read = 0, self.beginning(text, 0)
+        here = read[0].copy()
         out: list[str] = []
-        piece: str | None = self.longest(text, 0)
-        while pos < whole:
-            while piece is not None:
+        tried: list[list[str]] = []  # of each piece in ``out``, the shorter ones at its place
+        while True:
+            while here:
+                piece = here.pop()
                 stop = pos + len(piece)
-                if not failed >> stop & 1:
-                    fits = pairs.get((before, piece))
-                    if self.compatible(before, piece) if fits is None else fits:
-                        break
-                piece = self.prefix(piece)
-            if piece is not None:
-                out.append(piece)
-                pos, before = stop, piece
-                if pos < whole:
-                    piece = self.longest(text, pos)
+                if failed[stop >> 3] >> (stop & 7) & 1:
+                    continue
+                fits = pairs.get((before, piece))
+                if fits is None:
+                    fits = self.compatible(before, piece)
+                if fits:
+                    break
             else:
-                failed |= 1 << pos
-                piece = out.pop()
-                pos -= len(piece)
+                failed[pos >> 3] |= 1 << (pos & 7)
+                here = tried.pop()
+                pos -= len(out.pop())
                 before = out[-1] if out else ""
-                piece = self.prefix(piece)
-        return out
+                continue
+            out.append(piece)
+            if stop == whole:
+                return out
+            tried.append(here)
+            pos, before = stop, piece
+            if pos // READ != block:
+                block = pos // READ
+                read = self.beginning(text, block * READ)
+            here = read[pos - block * READ].copy()
 
     def encode_part(self, text: str) -> list[int]:
         """Ids of a chunk; characters outside the vocabulary become their bytes."""
@@ -154,6 +170,13 @@ class PieceCodec:
         shown = self.digest(text)[0]
         return list(map(int, shown.split()))
 
+    def _learnt(self, chunk: str) -> tuple[str, int, str]:
+        if self.letters.issuperset(chunk):
+            pieces = self.segment(chunk)
+            return " ".join(map(self.shown.__getitem__, pieces)), len(pieces), chunk
+        ids = self.encode_part(chunk)
+        return " ".join(map(str, ids)), len(ids), self._join(ids)
+
     def digest(self, text: str) -> tuple[str, int, str]:
         """Ids joined by spaces, their number, the decoded text."""
         if not text:
@@ -161,12 +184,16 @@ class PieceCodec:
         text = " " + text.replace(SPACE, " ")
         chunks = CHUNK.findall(text) if self.splits else [text]
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        found = list(map(self.words.get, chunks))
+            self.older, self.words = self.words, {}
+        words = self.words
+        found = list(map(words.get, chunks))
         for k, got in enumerate(found):
             if got is None:
-                ids = self.encode_part(chunks[k])
-                found[k] = self.words[chunks[k]] = (" ".join(map(str, ids)), len(ids), self._join(ids))
+                chunk = chunks[k]
+                got = words.get(chunk) or self.older.get(chunk) or self._learnt(chunk)
+                found[k] = got
+                if len(chunk) <= KEPT:
+                    words[chunk] = got
         shown, n, decoded = zip(*found, strict=True)
         return f"{' '.join(shown)} {self.end}", sum(n) + 1, "".join(decoded).removeprefix(" ")
 
