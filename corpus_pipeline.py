@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import materialize, table
 from strandlake.llm.jaccard_join import jaccard_groups
-from strandlake.llm.line_dedup import line_dedup
+from strandlake.llm.line_dedup import cleaned
 from strandlake.llm.packing import pack
 from strandlake.llm.quality_classifier import keep_good
 from strandlake.llm.suffix_dedup import suffix_dedup
@@ -21,8 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated chunks of lines; one that consisted of them goes."""
-    out = line_dedup(docs).where("n_removed_lines = 0 or text <> ''")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return cleaned(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
