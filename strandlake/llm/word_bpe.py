@@ -2,8 +2,10 @@
 
 Distinct pre-tokens of a batch lie end to end in one id array. A round looks up the rank of every
 adjacent pair, takes the lowest rank of each pre-token with one segmented minimum, and applies that
-pair in all pre-tokens at once; a pre-token without a known pair leaves the arrays. Encoded
-pre-tokens are kept in a bounded dictionary of packed little-endian 32-bit ids.
+pair in all pre-tokens at once; a pre-token without a known pair leaves the arrays. In a long pre-token
+a round applies every pair that is the lowest within its reach: a pair of lower rank farther off would
+first have to grow into a token that spans the distance, and tokens of lower rank are not that long.
+Encoded pre-tokens are kept in a bounded dictionary of packed little-endian 32-bit ids.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from tokenizers.pre_tokenizers import Split
 
 NONE = np.int64(1) << 40
 CACHE_WORDS = 900_000
+#: Pre-tokens of more bytes are merged by reach; chunks of more characters are not kept.
+LONG, KEPT = 64, 1000
 MARKS = ".,;:!?"
 #: Beyond these characters, case mapping, composition and letter classes are left to the tokenizer's own parts.
 PLAIN = re.compile(r"[^\x00-\x1b\x20-ɏ]")
@@ -51,6 +55,9 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([m for _, m in pairs], dtype=np.int64)
+        made_bytes = [len((a + b).removesuffix(end) if end else a + b) for a, b in model["merges"]]
+        #: By rank, the bytes of the longest token of a lower or equal rank.
+        self.reach = np.maximum.accumulate(np.array(made_bytes, dtype=np.int64))
         special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
         #: Keyed with a space in front, which no chunk of ordinary text can hold.
         self.special = {f" {k}": np.uint32(v).tobytes() for k, v in special.items()}
@@ -59,6 +66,46 @@ class WordBpe:
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each pre-token."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._merge(words, self._lowest)
+        apart = set(long)
+        short = [i for i in range(len(words)) if i not in apart]
+        packed = self._merge([words[i] for i in short], self._lowest) + self._merge([words[i] for i in long], self._lowest_in_reach)
+        found = dict(zip(short + long, packed, strict=True))
+        return [found[i] for i in range(len(words))]
+
+    @staticmethod
+    def _lowest(rank: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs to apply, and where no pair is known in the whole pre-token."""
+        least = np.repeat(np.minimum.reduceat(rank, first), size)
+        idle = least == NONE
+        return (rank == least) & ~idle, idle
+
+    def _lowest_in_reach(self, rank: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        idle = np.repeat(np.minimum.reduceat(rank, first) == NONE, size)
+        known = np.flatnonzero(rank != NONE)
+        reach = np.zeros(len(rank), np.int64)
+        reach[known] = self.reach[rank[known]]
+        hit = np.zeros(len(rank), bool)
+        least, stride, radius = rank, 1, 0
+        while len(known):
+            # minimum within the radius: 1, 4, 13, 40, ... places on both sides
+            wide = least.copy()
+            np.minimum(wide[stride:], least[:-stride], out=wide[stride:])
+            np.minimum(wide[:-stride], least[stride:], out=wide[:-stride])
+            radius += stride
+            least, stride = wide, stride * 3
+            known = known[rank[known] == least[known]]
+            done = (reach[known] <= radius) | (radius >= len(rank))
+            hit[known[done]] = True
+            known = known[~done]
+        # "aaa": a run of overlapping places goes as a whole or waits
+        run = np.flatnonzero(np.r_[True, (rank[1:] != rank[:-1]) | (rank[1:] == NONE)])
+        whole = np.minimum.reduceat(hit, run)
+        return np.repeat(whole, np.diff(np.r_[run, len(rank)])), idle
+
+    def _merge(self, words: list[bytes], lowest) -> list[bytes]:
         lens = np.array([len(w) for w in words], dtype=np.int64)
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         ids = self.inner[flat]
@@ -75,17 +122,14 @@ class WordBpe:
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             rank = np.where(self.keys[at] == key, self.ranks[at], NONE)
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            size = np.diff(np.r_[first, len(row)])
-            least = np.repeat(np.minimum.reduceat(rank, first), size)
-            idle = least == NONE
+            hit, idle = lowest(rank, first, np.diff(np.r_[first, len(row)]))
             if idle.any():
                 done_rows.append(row[idle])
                 done_ids.append(ids[idle])
                 live = ~idle
-                row, ids, rank, least = row[live], ids[live], rank[live], least[live]
+                row, ids, rank, hit = row[live], ids[live], rank[live], hit[live]
                 if not len(ids):
                     break
-            hit = rank == least
             # "aaa": of overlapping places, every second one from the left
             here = np.arange(len(hit))
             start = np.maximum.accumulate(np.where(hit & ~np.r_[False, hit[:-1]], here, -1))
@@ -125,7 +169,11 @@ class WordBpe:
         new = set(chain.from_iterable(split)).difference(self.cache)
         if new:
             self._learn(list(new))
-        return [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        out = [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        for c in new:
+            if len(c) > KEPT:
+                del self.cache[c]
+        return out
 
     def words(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk: letters, with one mark after them at most, need no pattern.

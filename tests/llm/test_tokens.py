@@ -1,9 +1,11 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +42,35 @@ def test_any_text_matches_the_libraries(t):
     assert CODEC.encode(t) == want and CODEC.digest(t)[2] == MODEL.decode(want)
 
 
+UNBROKEN = {
+    "letters": lambda rnd, n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)),
+    "one letter": lambda rnd, n: "a" * n,
+    "two letters": lambda rnd, n: "ab" * (n // 2),
+    "words": lambda rnd, n: "".join(rnd.choice(["the", "under", "standing", "qua", "lity", "er"]) for _ in range(n // 4)),
+    "digits": lambda rnd, n: "0123456789" * (n // 10),
+    "mixed": lambda rnd, n: "".join(rnd.choice(["a", "é", "日", "aa", "ing", "ß"]) for _ in range(n)),
+}
+
+
+@pytest.mark.parametrize("kind", UNBROKEN)
+def test_unbroken_texts_match_the_libraries(kind):
+    rnd = random.Random(3)
+    for n in (60, 65, 70, 200, 5000, 20_000):
+        t = UNBROKEN[kind](rnd, n)
+        assert ids(MINE.encode_batch([t])[0]) == LIBRARY.encode(t, add_special_tokens=False).ids
+        want = MODEL.encode(t, add_eos=True)
+        assert CODEC.encode(t) == want and CODEC.digest(t)[2] == MODEL.decode(want)
+
+
+def test_a_megabyte_without_a_break_takes_seconds():
+    t = UNBROKEN["letters"](random.Random(5), 1_000_000)
+    start = time.process_time()
+    got, shown = ids(MINE.encode_batch([t])[0]), CODEC.digest(t)
+    assert time.process_time() - start < 60
+    assert got == LIBRARY.encode(t, add_special_tokens=False).ids and shown[2] == t
+    assert t not in MINE.cache and not any(len(x) > piece_codec.KEPT for x in CODEC.words)
+
+
 def test_counts_and_codec(spark):
     rows = list(enumerate(texts())) + [(None, "long text " * 3000)]
     for r in token_counts.token_counts(frame(spark, rows), WORDS).collect():
