@@ -2,15 +2,18 @@
 
 Candidates. Every 100-byte window is assigned to the smallest hash among its ``K``-byte substrings
 (its anchor), so equal windows have equal anchors. The windows of an anchor and the bytes they cover
-are a snippet. Snippets that are equal are reduced to the earliest, in each scan partition first; an
-anchor with one distinct snippet holds no further repeats.
+are a snippet. Anchors that occur once hold no repeats and leave. Of equal snippets one, the earliest,
+stands for all in the merge and its suffixes carry the places of the others: within a buffer equal
+snippets are compared as bytes, beyond it by 96 bits of two hashes with bases of their own. An anchor
+of very many distinct snippets is dealt window by window instead, each by its own hash.
 
-Merge. The distinct snippets of the other anchors meet by anchor. Each batch of them is a shard with
+Merge. The snippets of the other anchors meet by anchor. Each batch of them is a shard with
 its own transform over symbols of ``STEP`` bytes. Shards are merged by refining the interleave (Holt and
 McMillan 2014): a round deals the suffixes' shard numbers into the blocks of the symbols that precede
 them, stably, and so sorts the merged suffixes by one more symbol; block boundaries give the common
 prefixes (Egidi and Manzini 2017). After ``LENGTH / STEP`` rounds a block is an interval of equal
-windows; in each, all but the earliest are repeats, after a comparison of their bytes.
+windows; all its places but the earliest are repeats, those of the snippets themselves after a
+comparison of their bytes.
 """
 
 from __future__ import annotations
@@ -28,24 +31,28 @@ from strandlake.llm.embedding_dedup import keyed_runs
 LENGTH, STEP, K = 100, 25, 28
 BUFFER = 1 << 21
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15
-LETTER = np.random.default_rng(100).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Snippets of a shard; distinct snippets beyond which an anchor is dealt window by window; rows of a bucket held at a time.
+SHARD, WIDE_FROM, HELD = 1000, 50_000, 200_000
+BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+LETTERS = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1) for seed in (100, 101)]
 #: doc_id, place of the anchor's first window, number of windows less one.
 RANGE = np.dtype([("doc", "<i8"), ("at", "<u4"), ("more", "u1")])
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+_powers: list[tuple[np.ndarray, np.ndarray]] | None = None
 
 
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64."""
+def powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64."""
     global _powers
     if _powers is None:
-        both = []
-        for b in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(BUFFER + LENGTH, b, dtype=np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers = both[0], both[1]
-    return _powers
+        _powers = []
+        for base in BASES:
+            both = []
+            for b in (base, pow(base, -1, 1 << 64)):
+                p = np.full(BUFFER + LENGTH, b, dtype=np.uint64)
+                p[0] = 1
+                both.append(np.multiply.accumulate(p))
+            _powers.append((both[0], both[1]))
+    return _powers[which]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -59,10 +66,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hashes of all substrings of a buffer of at most ``BUFFER + LENGTH`` bytes."""
 
-    def __init__(self, buffer: np.ndarray):
-        up, self.down = powers()
+    def __init__(self, buffer: np.ndarray, which: int = 0):
+        up, self.down = powers(which)
         self.sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
-        np.cumsum(LETTER[buffer] * up[: len(buffer)], out=self.sums[1:])
+        np.cumsum(LETTERS[which][buffer] * up[: len(buffer)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mixed((self.sums[stop] - self.sums[start]) * self.down[start])
@@ -73,7 +80,7 @@ class Hashes:
 
 
 def window_groups(buffer: np.ndarray, starts: np.ndarray, lens: np.ndarray):
-    """Anchor hash, snippet hash, first window and number of windows of each run with one anchor.
+    """Anchor hash, first window and number of windows of each run with one anchor, and the buffer's hashes.
 
     ``starts`` and ``lens``: the texts in the buffer; no window crosses them.
     """
@@ -97,10 +104,7 @@ def window_groups(buffer: np.ndarray, starts: np.ndarray, lens: np.ndarray):
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)])
     count = np.diff(np.r_[first, len(at)])
     start = at[first]
-    where = anchor[start]
-    whole = h.of(start, start + count - 1 + LENGTH)
-    shape = ((where - start) * 256 + count).astype(np.uint64)
-    return grams[where], mixed(whole ^ (shape * U(BASE))), start, count
+    return grams[anchor[start]], start, count, h
 
 
 def _fill(batches, column: int = 1):
@@ -143,129 +147,241 @@ def _again(new: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _by_doc(ranges: np.ndarray, kind: int):
-    """Rows (doc_id, kind, packed ranges), one per document, of ranges in any order."""
+    """Rows (doc_id, kind, packed ranges, nothing), one per document, of ranges in any order."""
     ranges = ranges[np.lexsort((ranges["at"], ranges["doc"]))]
     cuts = np.r_[np.flatnonzero(_grouped([ranges["doc"]])), len(ranges)]
-    return [(int(ranges["doc"][a]), kind, ranges[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] if len(ranges) else []
+    return [(int(ranges["doc"][a]), kind, ranges[a:b].tobytes(), None) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] if len(ranges) else []
 
 
-REPEAT, OPEN, MESSAGE = 0, 1, 2
+REPEAT, OPEN, COPY, WIDE, MESSAGE = range(5)
+#: Of a snippet on its way: hash of the anchor, two of its bytes.
+KEY = np.dtype([("anchor", "<u4"), ("whole", "<u8"), ("second", "<u4")])
+ROW = "key long, kind int, ranges binary, hashes binary"
+ROW_SCHEMA = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("ranges", pa.binary()), ("hashes", pa.binary())])
 
 
-def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed snippets' hashes by bucket of the anchor, and local repeats by document."""
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROW_SCHEMA, strict=True)], schema=ROW_SCHEMA)
+
+
+def _by_bucket(bucket: np.ndarray, kind: int, ranges: np.ndarray, hashes: np.ndarray) -> list[tuple]:
+    """Rows (bucket, kind, packed ranges, packed hashes), one per bucket, of sorted buckets."""
+    cuts = np.r_[np.flatnonzero(_grouped([bucket])), len(bucket)]
+    return [(int(bucket[a]), kind, ranges[a:b].tobytes(), hashes[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _places(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """All places of runs of bytes, end to end."""
+    return np.repeat(start - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum())
+
+
+def _same_bytes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Whether the runs of bytes at a and b are equal."""
+    same = np.ones(len(a), bool)
+    for lo in range(0, len(a), 5_000):
+        x, y, n = a[lo : lo + 5_000], b[lo : lo + 5_000], lens[lo : lo + 5_000]
+        alike = buffer[_places(x, n)] == buffer[_places(y, n)]
+        same[lo : lo + 5_000] = np.logical_and.reduceat(alike, np.r_[0, np.cumsum(n)[:-1]])
+    return same
+
+
+def _anchors(docs: DataFrame, buckets: int, reduce: bool) -> DataFrame:
+    """Packed snippets' hashes by bucket of the anchor; by document the snippets that equal an earlier one of the buffer."""
 
     def run(batches):
         for keys, places, chunks in _fill(batches):
             lens = np.array([len(c) for c in chunks])
             starts = np.r_[0, np.cumsum(lens)[:-1]]
-            anchor, whole, start, count = window_groups(np.frombuffer(b"".join(chunks), np.uint8), starts, lens)
+            buffer = np.frombuffer(b"".join(chunks), np.uint8)
+            anchor, start, count, h = window_groups(buffer, starts, lens)
+            stop = start + count - 1 + LENGTH
             owner = np.searchsorted(starts, start, side="right") - 1
             ranges = np.empty(len(start), RANGE)
             ranges["doc"] = np.array(keys, np.int64)[owner]
             ranges["at"] = start - starts[owner] + np.array(places)[owner]
             ranges["more"] = count - 1
-            bucket = anchor % U(buckets)
-            order = np.lexsort((ranges["at"], ranges["doc"], whole, anchor, bucket))
-            anchor, whole, ranges, bucket = anchor[order], whole[order], ranges[order], bucket[order]
-            new = _grouped([anchor, whole])
-            rows = [(d, k, r, None) for d, k, r in _by_doc(ranges[_again(new, ranges["doc"], ranges["at"])], REPEAT)]
-            anchor, whole, ranges, bucket = anchor[new], whole[new], ranges[new], bucket[new]
-            cuts = np.r_[np.flatnonzero(_grouped([bucket])), len(bucket)]
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                rows.append((int(bucket[a]), MESSAGE, ranges[a:b].tobytes(), anchor[a:b].tobytes() + whole[a:b].tobytes()))
-            key, kind, packed, hashes = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(packed, pa.binary()), pa.array(hashes, pa.binary())], names=["key", "kind", "ranges", "hashes"])
+            hashes = np.empty(len(start), KEY)
+            hashes["anchor"] = anchor >> U(32)
+            hashes["whole"] = h.of(start, stop)
+            hashes["second"] = Hashes(buffer, 1).of(start, stop) >> U(32)
+            bucket = (anchor % U(buckets)).astype(np.int64)
+            order = np.lexsort((ranges["at"], ranges["doc"], hashes["second"], hashes["whole"], anchor, bucket))
+            anchor, hashes, ranges, bucket, start = anchor[order], hashes[order], ranges[order], bucket[order], start[order]
+            rows = []
+            if reduce:
+                new = _grouped([anchor, hashes["whole"], hashes["second"]])
+                lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+                later = np.flatnonzero(~new)
+                alike = later[_same_bytes(buffer, start[later], start[lead[later]], ranges["more"][later].astype(np.int64) + LENGTH)]
+                elsewhere = alike[_again(new, ranges["doc"], ranges["at"])[alike]]
+                rows = _by_doc(ranges[elsewhere], REPEAT)
+                stay = np.ones(len(new), bool)
+                stay[alike] = False
+                # a repeat of a snippet is told to the bucket by a second row of it
+                told = np.zeros(len(new), bool)
+                told[lead[elsewhere]] = True
+                hashes, ranges, bucket, told = hashes[stay], ranges[stay], bucket[stay], told[stay]
+                twice = np.repeat(np.arange(len(told)), 1 + told)
+                hashes, ranges, bucket = hashes[twice], ranges[twice], bucket[twice]
+            yield _rows(rows + _by_bucket(bucket, MESSAGE, ranges, hashes))
+
+    return docs.mapInArrow(run, ROW)
+
+
+class Classes:
+    """Snippets of a bucket by anchor and equality; gives rows away before it holds many more than ``most``."""
+
+    def __init__(self, bucket: int, reduce: bool, wide_from: int, most: int):
+        self.bucket, self.reduce, self.wide_from, self.most = bucket, reduce, wide_from, most
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+        self.wide = np.empty(0, np.uint32)
+
+    def add(self, ranges: np.ndarray, hashes: np.ndarray) -> list[tuple]:
+        self.held.append((ranges, hashes, np.zeros(len(ranges), bool)))
+        self.size += len(ranges)
+        return self._compact() if self.size > self.most else []
+
+    def _compact(self) -> list[tuple]:
+        """Copies, and snippets of wide anchors, as rows; of each class its earliest member stays, and whether it has copies.
+
+        An anchor that turns out wide also opens its snippets that have had copies, as these know no other.
+        """
+        ranges, hashes, copied = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        wide = np.isin(hashes["anchor"], self.wide)
+        rows = _by_doc(ranges[wide], WIDE)
+        ranges, hashes, copied = ranges[~wide], hashes[~wide], copied[~wide]
+        order = np.lexsort((ranges["at"], ranges["doc"], hashes["second"], hashes["whole"], hashes["anchor"]))
+        ranges, hashes, copied = ranges[order], hashes[order], copied[order]
+        if self.reduce and len(ranges):
+            new = _grouped([hashes["anchor"], hashes["whole"], hashes["second"]])
+            again = _again(new, ranges["doc"], ranges["at"])
+            rows += _by_bucket(np.full(int(again.sum()), self.bucket), COPY, ranges[again], hashes[again])
+            first = np.flatnonzero(new)
+            # several rows with equal places: a snippet with a repeat in its own buffer, or a repeated document
+            copied = np.logical_or.reduceat(copied, first) | (np.diff(np.r_[first, len(new)]) > 1)
+            ranges, hashes = ranges[first], hashes[first]
+        first = np.flatnonzero(_grouped([hashes["anchor"]]))
+        count = np.diff(np.r_[first, len(ranges)])
+        wide = np.repeat(count > self.wide_from, count)
+        if wide.any():
+            self.wide = np.union1d(self.wide, hashes["anchor"][wide])
+            rows += _by_doc(ranges[wide], WIDE) + _by_doc(ranges[wide & copied], OPEN)
+        self.held = [(ranges[~wide], hashes[~wide], copied[~wide])]
+        self.size = int((~wide).sum())
+        return rows
+
+    def end(self) -> list[tuple]:
+        """What is left: snippets to merge, of anchors that occur twice or more."""
+        if not self.held:
+            return []
+        rows = self._compact()
+        ranges, hashes, copied = self.held[0]
+        same = np.zeros(len(ranges) + 1, bool)
+        same[1:-1] = hashes["anchor"][1:] == hashes["anchor"][:-1]
+        return rows + _by_doc(ranges[same[:-1] | same[1:] | copied], OPEN)
+
+
+def _classes(messages: DataFrame, n: int, reduce: bool) -> DataFrame:
+    """By document: REPEAT, snippets that equal an earlier one of their buffer; OPEN, to be merged; WIDE, to be
+    dealt by window. By bucket: COPY, the places of snippets that equal a merged one."""
+    wide_from, most = WIDE_FROM, HELD
 
-    return docs.mapInArrow(run, "key long, kind int, ranges binary, hashes binary")
+    def run(batches):
+        for group in keyed_runs(batches, 2):
+            key, kind = group[0].column(0)[0].as_py(), group[0].column(1)[0].as_py()
+            if kind != MESSAGE:
+                yield from group
+                continue
+            classes = Classes(key, reduce, wide_from, most)
+            for batch in group:
+                ranges = [np.frombuffer(r, RANGE) for r in batch.column(2).to_pylist()]
+                rows = classes.add(np.concatenate(ranges), np.concatenate([np.frombuffer(h, KEY) for h in batch.column(3).to_pylist()]))
+                if rows:
+                    yield _rows(rows)
+            rows = classes.end()
+            if rows:
+                yield _rows(rows)
+
+    return messages.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(run, ROW)
 
 
-def _classes(messages: DataFrame, n: int) -> DataFrame:
-    """Ranges by document: REPEAT, of a snippet that an earlier one equals; OPEN, to be merged."""
+def _of_documents(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, text and the packed ranges of each document that has some."""
+    lists = rows.groupBy(F.col("key").alias("doc_id")).agg(F.collect_list("ranges").alias("ranges"))
+    return docs.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "ranges")
 
-    def rows_out(rows):
-        key, kind, packed = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(packed, pa.binary())], names=["doc_id", "kind", "ranges"])
+
+def _cut(batches, each: bool):
+    """Snippets of the ranges, or their windows one by one: (ranges, bytes, lens) of bounded size."""
+    held, size, step = [], 0, max(1, BUFFER // (2 * (LENGTH + 255)))
+    for batch in batches:
+        for text, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            ranges = np.concatenate([np.frombuffer(p, RANGE) for p in packed])
+            ranges = ranges[np.unique(ranges["at"].astype(np.int64) * 256 + ranges["more"], return_index=True)[1]]
+            ranges = ranges[ranges["at"].astype(np.int64) + ranges["more"] + LENGTH <= len(raw)]
+            if each:
+                n = ranges["more"].astype(np.int64) + 1
+                at = _places(ranges["at"].astype(np.int64), n)
+                ranges = np.repeat(ranges, n)
+                ranges["at"], ranges["more"] = at, 0
+            for lo in range(0, len(ranges), step):
+                part = ranges[lo : lo + step]
+                lens = part["more"].astype(np.int64) + LENGTH
+                held.append((part, raw[_places(part["at"].astype(np.int64), lens)], lens))
+                size += int(lens.sum())
+                if size > BUFFER // 2:
+                    yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                    held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _windows(docs: DataFrame, wide: DataFrame, buckets: int) -> DataFrame:
+    """Messages of single windows, by bucket of their own hash."""
 
     def run(batches):
-        for group in keyed_runs(batches, 2):
-            if group[0].column(1)[0].as_py() != MESSAGE:
-                for batch in group:
-                    yield rows_out(list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)))
+        for ranges, flat, lens in _cut(batches, True):
+            if not len(ranges):
                 continue
-            ranges = np.concatenate([np.frombuffer(r, RANGE) for b in group for r in b.column(2).to_pylist()])
-            hashes = [np.frombuffer(h, np.uint64).reshape(2, -1) for b in group for h in b.column(3).to_pylist()]
-            anchor, whole = np.concatenate(hashes, axis=1)
-            order = np.argsort(anchor, kind="stable")
-            anchor, whole, ranges = anchor[order], whole[order], ranges[order]
-            # anchors that occur once hold no repeats and leave first
-            same = np.r_[False, anchor[1:] == anchor[:-1]]
-            many = same | np.r_[same[1:], False]
-            anchor, whole, ranges = anchor[many], whole[many], ranges[many]
-            if not len(anchor):
-                continue
-            order = np.lexsort((ranges["at"], ranges["doc"], whole, anchor))
-            anchor, whole, ranges = anchor[order], whole[order], ranges[order]
-            new = _grouped([anchor, whole])
-            rows = _by_doc(ranges[_again(new, ranges["doc"], ranges["at"])], REPEAT)
-            anchor, ranges = anchor[new], ranges[new]
-            same = np.r_[False, anchor[1:] == anchor[:-1]]
-            rows += _by_doc(ranges[same | np.r_[same[1:], False]], OPEN)
-            yield rows_out(rows)
+            start = np.r_[0, np.cumsum(lens)[:-1]]
+            hashes = np.empty(len(ranges), KEY)
+            hashes["whole"] = Hashes(flat).of(start, start + lens)
+            hashes["anchor"] = hashes["whole"] >> U(32)
+            hashes["second"] = Hashes(flat, 1).of(start, start + lens) >> U(32)
+            bucket = (hashes["whole"] % U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            yield _rows(_by_bucket(bucket[order], MESSAGE, ranges[order], hashes[order]))
 
-    dealt = messages.repartition(n, "key").sortWithinPartitions("key", "kind")
-    return dealt.mapInArrow(run, "doc_id long, kind int, ranges binary")
+    return _of_documents(docs, wide).mapInArrow(run, ROW)
 
 
-def _snippets(docs: DataFrame, opened: DataFrame, buckets: int) -> DataFrame:
-    """Snippets of open ranges, packed by bucket of their anchors."""
+def _snippets(docs: DataFrame, opened: DataFrame, buckets: int, single: bool) -> DataFrame:
+    """Snippets to merge: their hashes and bytes, packed by bucket of their anchors; single windows by that of their hash."""
 
     def run(batches):
-        for batch in batches:
-            parts_ = []
-            for key, text, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = np.frombuffer((text or "").encode(), np.uint8)
-                ranges = np.concatenate([np.frombuffer(p, RANGE) for p in packed])
-                ranges = ranges[np.unique(ranges["at"].astype(np.int64) * 256 + ranges["more"], return_index=True)[1]]
-                ranges = ranges[ranges["at"].astype(np.int64) + ranges["more"] + LENGTH <= len(raw)]
-                lens = ranges["more"].astype(np.int64) + LENGTH
-                at = np.repeat(ranges["at"].astype(np.int64) - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum())
-                parts_.append((np.full(len(ranges), key, np.int64), ranges, raw[at], lens))
-                if sum(len(p[2]) for p in parts_) > BUFFER // 2:
-                    yield from _packed(parts_, buckets)
-                    parts_ = []
-            yield from _packed(parts_, buckets)
-
-    lists = opened.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
-    joined = docs.join(lists.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, "bucket long, ranges binary, bytes binary")
-
-
-def _packed(parts_, buckets: int):
-    if not parts_:
-        return
-    ranges = np.concatenate([p[1] for p in parts_])
-    if not len(ranges):
-        return
-    flat = np.concatenate([p[2] for p in parts_])
-    lens = np.concatenate([p[3] for p in parts_])
-    starts = np.r_[0, np.cumsum(lens)[:-1]]
-    for lo in range(0, len(lens), BUFFER // (2 * (LENGTH + 255))):
-        hi = min(len(lens), lo + BUFFER // (2 * (LENGTH + 255)))
-        base = starts[lo]
-        piece = flat[base : starts[hi - 1] + lens[hi - 1]]
-        # a range's first window has one anchor: the same bucket as in the first step
-        anchor = first_anchor(piece, starts[lo:hi] - base)
-        bucket = (anchor % U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.r_[np.flatnonzero(_grouped([bucket[order]])), len(order)]
-        rows = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            who = order[a:b] + lo
-            at = np.repeat(starts[who] - np.r_[0, np.cumsum(lens[who])[:-1]], lens[who]) + np.arange(lens[who].sum())
-            rows.append((int(bucket[order[a]]), ranges[who].tobytes(), flat[at].tobytes()))
-        key, r, s = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(r, pa.binary()), pa.array(s, pa.binary())], names=["bucket", "ranges", "bytes"])
+        for ranges, flat, lens in _cut(batches, False):
+            if not len(ranges):
+                continue
+            start = np.r_[0, np.cumsum(lens)[:-1]]
+            whole, second = (Hashes(flat, which).of(start, start + lens) for which in (0, 1))
+            # a snippet's first window has its anchor: the same bucket as in the first step
+            bucket = ((whole if single else first_anchor(flat, start)) % U(buckets)).astype(np.int64)
+            hashes = np.zeros(len(ranges), KEY)
+            hashes["whole"], hashes["second"] = whole, second >> U(32)
+            order = np.argsort(bucket, kind="stable")
+            rows = [(*row[:3], row[3]) for row in _by_bucket(bucket[order], OPEN, ranges[order], hashes[order])]
+            flats, at = [], 0
+            for row in rows:
+                who = order[at : at + len(row[2]) // RANGE.itemsize]
+                flats.append(flat[_places(start[who], lens[who])].tobytes())
+                at += len(who)
+            key, kind, packed, keys = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(packed, pa.binary()), pa.array(keys, pa.binary()), pa.array(flats, pa.binary())], names=["key", "kind", "ranges", "hashes", "bytes"])
+
+    return _of_documents(docs, opened).mapInArrow(run, f"{ROW}, bytes binary")
 
 
 def first_anchor(buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -277,35 +393,56 @@ def first_anchor(buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return near[np.arange(len(starts)), best]
 
 
-def radix_order(keys: np.ndarray) -> np.ndarray:
-    """Stable order of 32-bit keys in two passes of 16 bits."""
-    order = np.argsort((keys & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
-    if len(keys) and int(keys.max()) > 0xFFFF:
-        order = order[np.argsort((keys[order] >> np.uint32(16)).astype(np.uint16), kind="stable")]
-    return order
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of keys under 2**32, of fewer than 2**32 places: one sort of keys with their places behind them."""
+    with_place = (keys.astype(np.uint64) << U(32)) | np.arange(len(keys), dtype=np.uint64)
+    with_place.sort()
+    return (with_place & U(0xFFFFFFFF)).astype(np.int64)
+
+
+def named(grams: np.ndarray) -> np.ndarray:
+    """Numbers from 1 for the different values, in their order."""
+    order = stable_order(grams >> U(32))
+    g = grams[order]
+    top = np.r_[True, (g[1:] >> U(32)) != (g[:-1] >> U(32))]
+    mixed_up = np.flatnonzero(~top & np.r_[False, g[1:] != g[:-1]])
+    if len(mixed_up):  # different values with equal upper halves: their groups are sorted in full
+        group = np.cumsum(top)
+        rows = np.flatnonzero(np.isin(group, group[mixed_up]))
+        order[rows] = order[rows][np.argsort(g[rows], kind="stable")]
+        g = grams[order]
+    names = np.empty(len(grams), np.uint32)
+    names[order] = np.cumsum(np.r_[True, g[1:] != g[:-1]])
+    return names
 
 
 class Shard:
     """Snippets with sorted suffixes and the transform of their symbols.
 
     Places are the snippets' bytes and one end each. A place's symbol names its ``STEP`` bytes, 0 where
-    fewer are left; its suffix is the symbols at every ``STEP``-th place from it.
+    fewer are left; its suffix is the symbols at every ``STEP``-th place from it. Suffixes are ranked by
+    one symbol, then by doubling.
     """
 
     def __init__(self, symbols: np.ndarray, back: np.ndarray, first_place: int):
         self.n = len(symbols)
-        order = np.arange(self.n)
-        ahead = np.minimum(np.arange(self.n) + STEP, self.n - 1)
-        rank = np.zeros(self.n, np.uint32)
-        for _ in range(LENGTH // STEP):
-            order = radix_order(np.where(symbols > 0, rank[ahead], 0))
-            order = order[radix_order(symbols[order])]
-            new = np.zeros(self.n, bool)
-            s, r = symbols[order], np.where(symbols > 0, rank[ahead], 0)[order]
-            new[1:] = (s[1:] != s[:-1]) | (r[1:] != r[:-1])
+        rank, ahead = symbols, STEP
+        while ahead < LENGTH:
+            # a place without ``ahead`` bytes left has a rank that says so, and nothing behind it counts
+            behind = np.zeros(self.n, np.uint32)
+            behind[: self.n - ahead] = rank[ahead:]
+            full = np.zeros(self.n, bool)
+            step = symbols > 0
+            full[: self.n - ahead] = step[: self.n - ahead]
+            for k in range(STEP, ahead, STEP):
+                full[: self.n - ahead] &= step[k : self.n - ahead + k]
+            behind[~full] = 0
+            order = stable_order(behind)
+            order = order[stable_order(rank[order])]
+            r, s = rank[order], behind[order]
             fresh = np.empty(self.n, np.uint32)
-            fresh[order] = np.cumsum(new)
-            rank = fresh
+            fresh[order] = np.cumsum(np.r_[False, (r[1:] != r[:-1]) | (s[1:] != s[:-1])]) if self.n else 0
+            rank, ahead = fresh, ahead * 2
         self.suffixes = order + first_place
         self.transform = np.where(back[order], symbols[order - STEP], 0)
         self.ends = int((symbols == 0).sum())
@@ -313,31 +450,28 @@ class Shard:
 
 def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of all shards, sorted by ``LENGTH`` bytes, and each one's block of equal ones."""
-    kind = np.uint16 if len(shards) < 1 << 16 else np.uint32
-    interleave = np.repeat(np.arange(len(shards), dtype=kind), [s.n for s in shards])
+    numbers = np.arange(len(shards), dtype=np.uint32)
+    interleave = np.repeat(numbers, [s.n for s in shards])
     blocks = np.zeros(len(interleave), np.int64)
-    ends = np.repeat(np.arange(len(shards), dtype=kind), [s.ends for s in shards])
-    offset = np.r_[0, np.cumsum([s.n for s in shards])[:-1]]
+    ends = np.repeat(numbers, [s.ends for s in shards])
     transform = np.concatenate([s.transform for s in shards])
     for _ in range(LENGTH // STEP):
         symbol = np.empty(len(interleave), transform.dtype)
         # a shard's symbols keep their order wherever the interleave puts them
-        symbol[np.argsort(interleave, kind="stable")] = transform
+        symbol[stable_order(interleave)] = transform
         known = np.flatnonzero(symbol > 0)
-        order = known[radix_order(symbol[known])]
+        order = known[stable_order(symbol[known])]
         new = np.ones(len(order), bool)
         new[1:] = (symbol[order[1:]] != symbol[order[:-1]]) | (blocks[order[1:]] != blocks[order[:-1]])
         interleave = np.concatenate([ends, interleave[order]])
         blocks = np.concatenate([np.zeros(len(ends), np.int64), np.cumsum(new)])
     place = np.empty(len(interleave), np.int64)
-    by_shard = np.argsort(interleave, kind="stable")
-    place[by_shard] = np.concatenate([s.suffixes for s in shards])
-    assert len(offset) == len(shards)
+    place[stable_order(interleave)] = np.concatenate([s.suffixes for s in shards])
     return place, blocks
 
 
-def repeated_windows(batches: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Ranges (of one window each) that repeat an earlier one; batches of (ranges, their bytes)."""
+def repeated_windows(batches: list[tuple[np.ndarray, np.ndarray]], shard: int = SHARD) -> np.ndarray:
+    """Ranges (of one window each) that repeat an earlier one; batches of (ranges, their bytes), ``shard`` snippets a shard."""
     ranges = np.concatenate([r for r, _ in batches])
     lens = ranges["more"].astype(np.int64) + LENGTH
     flat = np.concatenate([b for _, b in batches])
@@ -354,19 +488,11 @@ def repeated_windows(batches: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
         grams[lo:hi] = Hashes(flat[lo : hi + STEP - 1]).every(STEP)
     symbols = np.zeros(size, np.uint32)
     byte = np.arange(size) - owner
-    _, names = np.unique(grams[byte[full]], return_inverse=True)
-    symbols[full] = names + 1
-    shards, at, snippet = [], 0, 0
-    counts = [len(r) for r, _ in batches]
-    while counts:  # small batches together, so that a shard is worth its sorting
-        take, n = 0, 0
-        while take < len(counts) and n < 2_000:
-            n += counts[take]
-            take += 1
-        counts = counts[take:]
-        stop = place_start[snippet + n] if snippet + n < len(lens) else size
+    symbols[full] = named(grams[byte[full]])
+    shards = []
+    for lo in range(0, len(lens), shard):
+        at, stop = place_start[lo], place_start[lo + shard] if lo + shard < len(lens) else size
         shards.append(Shard(symbols[at:stop], inside[at:stop] >= STEP, at))
-        at, snippet = int(stop), snippet + n
     place, blocks = merge(shards)
     window = inside[place] + LENGTH <= lens[owner[place]]
     place, blocks = place[window], blocks[window]
@@ -403,16 +529,32 @@ def joined_ranges(ranges: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merged(snippets: DataFrame, n: int) -> DataFrame:
+def _merged(snippets: DataFrame, copies: DataFrame, n: int) -> DataFrame:
+    """(doc_id, ranges): the windows of merged snippets that repeat an earlier one, and the copies of merged snippets."""
+    shard = SHARD
+
     def run(batches):
+        names = ["doc_id", "ranges"]
         for group in keyed_runs(batches, 1):
-            shards = [(np.frombuffer(r, RANGE), np.frombuffer(s, np.uint8)) for b in group for r, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            found = repeated_windows(shards)
-            if len(found):
-                doc, _, packed = zip(*_by_doc(joined_ranges(found), REPEAT), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "ranges"])
-
-    return snippets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id long, ranges binary")
+            kinds = [b.column(1).to_numpy() for b in group]
+            shards = [(np.frombuffer(r, RANGE), np.frombuffer(s, np.uint8)) for b, k in zip(group, kinds, strict=True) for r, s in zip(*(b.filter(pa.array(k == OPEN)).column(i).to_pylist() for i in (2, 4)), strict=True)]
+            if not shards:
+                continue
+            merged = np.concatenate([np.frombuffer(h, KEY) for b, k in zip(group, kinds, strict=True) for h in b.filter(pa.array(k == OPEN)).column(3).to_pylist()])
+            found = [joined_ranges(x) for x in [repeated_windows(shards, shard)] if len(x)]
+            known = np.unique(merged["whole"] ^ merged["second"])
+            for b, k in zip(group, kinds, strict=True):
+                more = b.filter(pa.array(k == COPY))
+                for r, h in zip(more.column(2).to_pylist(), more.column(3).to_pylist(), strict=True):
+                    places, keys = np.frombuffer(r, RANGE), np.frombuffer(h, KEY)
+                    found.append(places[np.isin(keys["whole"] ^ keys["second"], known)])
+            for part in found:
+                if len(part):
+                    doc, _, packed, _ = zip(*_by_doc(part, REPEAT), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(packed, pa.binary())], names=names)
+
+    rows = snippets.unionByName(copies.select("key", "kind", "ranges", "hashes", F.lit(None).cast("binary").alias("bytes")))
+    return rows.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(run, "doc_id long, ranges binary")
 
 
 def spans(packed: list[bytes]) -> list[tuple[int, int]]:
@@ -428,18 +570,28 @@ def spans(packed: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(start[first].tolist(), reach[np.r_[first[1:] - 1, len(start) - 1]].tolist(), strict=True))
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """Stored (doc_id, gone: packed ranges of the windows that also start earlier) of documents that have some."""
+def repeated_ranges(docs: DataFrame, reduce: bool = True) -> DataFrame:
+    """Stored (doc_id, gone: packed ranges of the windows that also start earlier) of documents that have some.
+
+    Without ``reduce`` every snippet is merged, also those that equal others: the same result at more cost.
+    """
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).where("doc_id is not null and text is not null")
     n = parts(spark, text_bytes(docs), 24e6)
-    ranges = Stored(_classes(_anchors(docs, 4 * n), n), "ranges")
-    opened = ranges.df.where(f"kind = {OPEN}")
-    more = Stored(_merged(_snippets(docs, opened, 4 * n), n), "merged")
-    found = ranges.df.where(f"kind = {REPEAT}").select("doc_id", "ranges").union(more.df)
+    done = [Stored(_classes(_anchors(docs, 4 * n, reduce), n, reduce), "ranges")]
+    rows = done[0].df
+    of = lambda df, kind: df.where(F.col("kind") == kind)
+    done.append(Stored(_merged(_snippets(docs, of(rows, OPEN), 4 * n, False), of(rows, COPY), n), "merged"))
+    found = of(rows, REPEAT).select(F.col("key").alias("doc_id"), "ranges").union(done[1].df)
+    wide = of(rows, WIDE)
+    if not wide.isEmpty():
+        done.append(Stored(_classes(_windows(docs, wide, 4 * n), n, True), "windows"))
+        single = done[-1].df
+        done.append(Stored(_merged(_snippets(docs, of(single, OPEN), 4 * n, True), of(single, COPY), n), "merged"))
+        found = found.union(done[-1].df)
     gone = Stored(found.groupBy("doc_id").agg(F.collect_list("ranges").alias("gone")), "gone").df
-    ranges.drop()
-    more.drop()
+    for x in done:
+        x.drop()
     return gone
 
 
@@ -451,7 +603,7 @@ def remaining(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def suffix_digest(docs: DataFrame) -> DataFrame:
+def suffix_digest(docs: DataFrame, reduce: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text is empty; a text under ``LENGTH`` bytes loses nothing. Rows with a null doc_id take no
@@ -459,7 +611,7 @@ def suffix_digest(docs: DataFrame) -> DataFrame:
     documents, or an earlier place of either text, hold. Other columns are ignored; an empty table
     gives no rows.
     """
-    gone = repeated_ranges(docs)
+    gone = repeated_ranges(docs, reduce)
 
     def run(batches):
         for batch in batches:

@@ -33,7 +33,45 @@ def test_suffix_dedup_matches_brute_force(spark, seed):
     assert any(v[1] for v in got.values())
 
 
-def test_suffix_merge_alone(spark, monkeypatch):
+def test_suffix_reduction_changes_nothing(spark):
+    """Merging every snippet, also those that equal others, gives the same."""
+    rows = list(enumerate(texts(seed=4)))
+    got = [sorted(map(tuple, suffix_dedup.suffix_digest(frame(spark, rows).repartition(5), reduce).collect())) for reduce in (True, False)]
+    assert got[0] == got[1] and {r[0]: r[1:] for r in got[0]} == brute_suffix(rows)
+
+
+def test_suffix_hot_anchors(spark, monkeypatch):
+    """A string that many texts hold between different words: its windows are dealt one by one."""
+    import random
+
+    for name, value in (("WIDE_FROM", 6), ("HELD", 40), ("SHARD", 5)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abcdefghijkl ") for _ in range(n))
+    common, pairs = word(45), [(word(40), word(40)) for _ in range(12)]
+    rows = [(k, word(30) + a + common + b + word(20)) for k, (a, b) in enumerate(rnd.choice(pairs) if k % 3 else (word(60), word(60)) for k in range(90))]
+    rows += [(200 + k, common * 4 + word(9)) for k in range(20)] + [(300 + k, rows[k][1]) for k in range(30)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.suffix_digest(frame(spark, rows).repartition(6)).collect()}
+    assert got == brute_suffix(rows)
+
+
+def test_suffix_classes_find_wide_anchors():
+    """A bucket holds few rows of an anchor at a time, and sends it away by window once it is wide."""
+    import numpy as np
+
+    classes = suffix_dedup.Classes(3, True, 10, 20)
+    kinds = []
+    for k in range(30):
+        ranges, hashes = np.zeros(5, suffix_dedup.RANGE), np.zeros(5, suffix_dedup.KEY)
+        ranges["doc"] = np.arange(5) + 5 * k
+        hashes["anchor"], hashes["whole"] = 7, np.arange(5) + 5 * k
+        kinds += [r[1] for r in classes.add(ranges, hashes)]
+        assert classes.size <= 25
+    kinds += [r[1] for r in classes.end()]
+    assert set(kinds) == {suffix_dedup.WIDE} and classes.wide.tolist() == [7]
+
+
+def test_suffix_merge_alone(monkeypatch):
     """Every group of windows goes through the merge, over many small shards."""
     rows = [(i, t) for i, t in enumerate(texts(60, seed=9)) if t]
     import numpy as np
@@ -49,22 +87,27 @@ def test_suffix_merge_alone(spark, monkeypatch):
         r["doc"], r["at"], r["more"] = i, at, np.minimum(256, n - at) - 1
         pieces = b"".join(raw[a : a + int(m) + suffix_dedup.LENGTH] for a, m in zip(at.tolist(), r["more"], strict=True))
         batches.append((r, np.frombuffer(pieces, np.uint8)))
-    original = suffix_dedup.Shard
-    made = []
-    monkeypatch.setattr(suffix_dedup, "Shard", lambda *a: made.append(1) or original(*a))
-    found = suffix_dedup.repeated_windows([b for x in batches for b in [x] * 1])
-    gone = defaultdict(set)
-    for d, a in zip(found["doc"].tolist(), found["at"].tolist(), strict=True):
-        gone[d].add(a)
-    seen = set()
+    merge, made = suffix_dedup.merge, []
+    monkeypatch.setattr(suffix_dedup, "merge", lambda shards: made.append(len(shards)) or merge(shards))
+    want, seen = set(), set()
     for i, t in rows:
-        raw, want = t.encode(), set()
+        raw = t.encode()
         for s in range(len(raw) - 99):
             if raw[s : s + 100] in seen:
-                want.add(s)
+                want.add((i, s))
             seen.add(raw[s : s + 100])
-        assert gone[i] == want
-    assert made
+    for shard in (2, 15, 1000):
+        found = suffix_dedup.repeated_windows(batches, shard)
+        assert set(zip(found["doc"].tolist(), found["at"].tolist(), strict=True)) == want
+    assert made[0] >= 30 and made[1] >= 3
+
+
+def test_suffix_names_of_symbols():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    grams = (rng.integers(0, 4, 500, dtype=np.uint64) << np.uint64(32)) | rng.integers(0, 9, 500, dtype=np.uint64)
+    assert (suffix_dedup.named(grams) == np.unique(grams, return_inverse=True)[1] + 1).all()
 
 
 def test_suffix_long_text_and_repeated_rows(spark, monkeypatch):
@@ -187,16 +230,66 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.jaccard_groups(frame(spark, [])).count() == 0
 
 
+def brute_chunks(lines):
+    """Boundaries from their definition, found from the end of the text by recursion."""
+    import xxhash
+
+    n = len(lines)
+    h = [xxhash.xxh3_64_intdigest(x) for x in lines]
+    worded = [i for i in range(n) if lines[i].strip()]
+
+    def least(i):
+        return 0 < i < n - 1 and h[i] < h[i - 1] and h[i] < h[i + 1]
+
+    def allowed(start):
+        """A chunk may begin at a line that leaves two lines on each side, words after it and before it no two blank lines."""
+        return 2 <= start <= n - 2 and worded and start <= worded[-1] and (lines[start - 1].strip() or lines[start - 2].strip())
+
+    def cut(end):
+        for start in range(end - 1, 1, -1):
+            if allowed(start) and (least(start - 1) or (start <= end - 2 and not least(start - 2))):
+                return [*cut(start), (start, end)]
+        return [(0, end)]
+
+    return cut(n)
+
+
+def brute_lines(rows):
+    """Text that stays in each row, by whole chunk texts; equal rows are one document."""
+    import xxhash
+
+    seen, out = {}, {}
+    version = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63)
+    for key, text in sorted({(k, t) for k, t in rows if k is not None and t is not None}, key=lambda r: (r[0], version(r[1]))):
+        lines = text.split("\n")
+        kept = []
+        for k, (a, b) in enumerate(brute_chunks(lines)):
+            chunk = "\n".join(lines[a:b])
+            if b - a < 2 or not chunk.strip() or seen.setdefault(chunk, (key, text, k)) == (key, text, k):
+                kept += lines[a:b]
+        out[key, text] = "\n".join(kept)
+    return [(k, out.get((k, t), t)) for k, t in rows]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup_matches_brute_force(spark, seed):
     rows = list(enumerate(texts(150, seed=seed)))
+    rows += [(5, rows[9][1]), (5, rows[9][1]), (40, rows[7][1]), (None, rows[7][1])]
     out = line_dedup.line_dedup(frame(spark, rows).repartition(3))
     assert out.columns[:6] == frame(spark, rows).columns
-    got = {r["doc_id"]: r["kept_sha256"] for r in line_dedup.digest(out).collect()}
-    assert got == line_dedup.brute_force(rows)
+    got = sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect())))
+    assert got == sorted(map(str, brute_lines(rows)))
+    want = sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in brute_lines(rows))
+    assert sorted(r["kept_sha256"] for r in line_dedup.digest(out).collect()) == want
     assert out.where("n_removed_chunks > 0").count()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "d", "e", "f", "", " "]), min_size=1, max_size=30))
+def test_line_boundaries_follow_their_definition(body):
+    assert line_dedup.chunk_texts("\n".join(body)) == (body, brute_chunks(body))
+
+
 def test_line_dedup_odd_rows(spark):
     t = "\n".join(f"a line {i} of this text" for i in range(30))
     out = line_dedup.line_dedup(frame(spark, [(1, t), (1, t), (None, t), (2, None), (3, "")])).collect()
@@ -204,6 +297,26 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_two_texts_under_one_id(spark):
+    t = "\n".join(f"a line {i} of this text" for i in range(30))
+    out = line_dedup.line_dedup(frame(spark, [(1, t), (2, t), (5, t), (5, "another\ntext\nof\nlines")])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, t), (2, ""), (5, ""), (5, "another\ntext\nof\nlines")]
+
+
+@pytest.mark.parametrize("name", ["n_lines", "n_removed_lines", "done", "done__", "row", "gone", "gone_id", "version", "k", "h1", "wanted", "a.b"])
+def test_line_dedup_with_clashing_names(spark, name):
+    import corpus_pipeline
+
+    t = "a b\nc d\ne f\ng h"
+    docs = spark.createDataFrame([(1, t, 7), (2, t, 8), (3, None, 9)], f"doc_id long, text string, `{name}` int")
+    out = line_dedup.line_dedup(docs)
+    assert sorted((r["doc_id"], r["n_lines"], r["n_removed_lines"]) for r in line_dedup.digest(out).collect()) == [(1, 4, 0), (2, 4, 4), (3, 0, 0)]
+    if name not in line_dedup.COUNTS:
+        assert sorted((r["doc_id"], r[name]) for r in out.collect()) == [(1, 7), (2, 8), (3, 9)]
+    kept = corpus_pipeline.lines(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"] or "", r[name]) for r in kept.collect()) == [(1, t, 7), (3, "", 9)]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=0, max_size=8), st.integers(0, 1000))
 def test_line_boundaries_resist_shifts(before, seed):
