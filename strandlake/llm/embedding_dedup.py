@@ -14,6 +14,8 @@ from strandlake.llm.common import Stored, join_hot
 from strandlake.llm.components import components, local_roots
 
 BLOCK = 1024
+#: Vectors of a bucket, about: more need fewer sign bits and so fewer tables, fewer need less comparing.
+BUCKET = 128
 
 
 def tables_for(bits: int, cosine: float, recall: float) -> int:
@@ -51,7 +53,17 @@ def keyed_runs(batches, n_keys: int) -> Iterator[list[pa.RecordBatch]]:
         yield held
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99, seed: int = 11) -> DataFrame:
+def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a list column of equal length, and their values as a matrix in double precision."""
+    lens = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    start = np.r_[0, np.cumsum(lens)[:-1]]
+    for dim in np.unique(lens).tolist():
+        at = np.flatnonzero(lens == dim)
+        yield at, flat[start[at][:, None] + np.arange(dim)] if len(at) < len(lens) else flat.reshape(len(lens), dim)
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.998, seed: int = 11) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Equal vectors are first reduced to one with a count. The number of sign bits follows the number
@@ -60,31 +72,37 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99,
     A block reports link counts per vector and a spanning forest, never its pairs; a pair that meets
     in several tables counts in the first. Null, zero or non-finite vectors, and rows without an id,
     have no links and are their own component; vectors of different lengths never link. Repeated rows
-    count as vectors. Other columns are pruned; an empty table gives no rows.
+    count as vectors. Other columns are pruned; an empty table gives no rows. The rows are stored; all
+    other tables are dropped.
     """
     spark = vectors.sparkSession
-    v = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("e"))
+    done: list[Stored] = []
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        done.append(Stored(df, name))
+        return done[-1].df
+
+    given = vectors.schema["embedding"].dataType.simpleString()
+    kind = "float" if given == "array<float>" else "double"
+    v = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast(f"array<{kind}>").alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("e", lambda x: x != 0)
     v = v.withColumn("fine", F.coalesce(F.col("vec_id").isNotNull() & fine, F.lit(False)))
-    v = v.withColumn("e", F.when(F.col("fine"), F.transform("e", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))))
-    distinct = Stored(v.where("fine").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors").df
+    v = v.withColumn("e", F.when(F.col("fine"), F.transform("e", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))))
+    distinct = store(v.where("fine").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     n = distinct.count()
-    bits = min(24, max(6, round(math.log2(max(n, 2) / 8))))
+    bits = min(24, max(4, round(math.log2(max(n, 2) / BUCKET))))
     tables = tables_for(bits, cosine, recall)
 
     def sign(batches):
         for batch in batches:
             rep = batch.column(1).to_numpy(zero_copy_only=False)
-            rows = batch.column(0).to_pylist()
-            for dim in {len(r) for r in rows}:
-                at = np.array([i for i, r in enumerate(rows) if len(r) == dim])
-                x = np.array([rows[i] for i in at])
-                c = codes(x, hyperplanes(dim, tables, bits, seed), tables)
+            for at, x in by_length(batch.column(0)):
+                c = codes(x, hyperplanes(x.shape[1], tables, bits, seed), tables)
                 t = np.tile(np.arange(tables), len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(t * 100_003 + dim), pa.array(c.ravel()), pa.array(np.repeat(rep[at], tables))], names=["t", "code", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(t * 100_003 + x.shape[1]), pa.array(c.ravel()), pa.array(np.repeat(rep[at], tables))], names=["t", "code", "rep"])
 
-    keys = Stored(distinct.mapInArrow(sign, "t long, code long, rep long"), "codes").df
-    full = Stored(keys.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1"), "buckets").df
+    keys = store(distinct.select("e", "rep").mapInArrow(sign, "t long, code long, rep long"), "codes")
+    full = store(keys.groupBy("t", "code").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     member = join_hot(keys, full, ["t", "code"], n * tables).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     member = member.withColumn("own", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -97,7 +115,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99,
     def compare(batches):
         for run in keyed_runs(batches, 4):
             table = pa.Table.from_batches(run)
-            x = np.array(table.column("e").to_pylist())
+            ((_, x),) = by_length(table.column("e").combine_chunks())
             t = table.column("t")[0].as_py() // 100_003
             own, rep, copies = (table.column(c).to_numpy() for c in ("own", "rep", "copies"))
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -122,13 +140,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.99,
             root = roots[np.searchsorted(nodes, rep[at])]
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(root), pa.array(links[at].astype(np.int64))], names=["rep", "root", "links"])
 
-    found = Stored(dealt.mapInArrow(compare, "rep long, root long, links long"), "links").df
+    found = store(dealt.mapInArrow(compare, "rep long, root long, links long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select("rep", "root")).withColumnsRenamed({"node": "rep"})
     of_rep = distinct.join(counts, "rep", "left").join(groups, "rep", "left")
     links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
-    of_rep = Stored(of_rep.select("e", F.col("copies").alias("n"), links.alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "results").df
+    of_rep = store(of_rep.select("e", F.col("copies").alias("n"), links.alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "results")
     linked = join_hot(v.where("fine").select("vec_id", "e"), of_rep, ["e"], v.count()).select("vec_id", "n_links", "component_id")
     alone = v.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = linked.unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = Stored(out, "classes").df
+    for x in done:
+        x.drop()
+    return out
