@@ -19,6 +19,7 @@ comparison of their bytes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from strandlake.llm.embedding_dedup import keyed_runs
 LENGTH, STEP, K = 100, 25, 28
 BUFFER = 1 << 21
 U = np.uint64
-#: Snippets of a shard; distinct snippets beyond which an anchor is dealt window by window; rows of a bucket held at a time.
-SHARD, WIDE_FROM, HELD = 1000, 50_000, 200_000
+#: Snippets of a shard, and of a merge; distinct snippets beyond which an anchor is dealt window by window; rows of a bucket held at a time.
+SHARD, MERGED, WIDE_FROM, HELD = 500, 2_500, 50_000, 200_000
 BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 LETTERS = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1) for seed in (100, 101)]
 #: doc_id, place of the anchor's first window, number of windows less one.
@@ -296,10 +297,10 @@ def _classes(messages: DataFrame, n: int, reduce: bool) -> DataFrame:
                 continue
             classes = Classes(key, reduce, wide_from, most)
             for batch in group:
-                ranges = [np.frombuffer(r, RANGE) for r in batch.column(2).to_pylist()]
-                rows = classes.add(np.concatenate(ranges), np.concatenate([np.frombuffer(h, KEY) for h in batch.column(3).to_pylist()]))
-                if rows:
-                    yield _rows(rows)
+                for r, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    rows = classes.add(np.frombuffer(r, RANGE), np.frombuffer(h, KEY))
+                    if rows:
+                        yield _rows(rows)
             rows = classes.end()
             if rows:
                 yield _rows(rows)
@@ -368,9 +369,10 @@ def _snippets(docs: DataFrame, opened: DataFrame, buckets: int, single: bool) ->
             start = np.r_[0, np.cumsum(lens)[:-1]]
             whole, second = (Hashes(flat, which).of(start, start + lens) for which in (0, 1))
             # a snippet's first window has its anchor: the same bucket as in the first step
-            bucket = ((whole if single else first_anchor(flat, start)) % U(buckets)).astype(np.int64)
-            hashes = np.zeros(len(ranges), KEY)
-            hashes["whole"], hashes["second"] = whole, second >> U(32)
+            anchor = whole if single else first_anchor(flat, start)
+            bucket = (anchor % U(buckets)).astype(np.int64)
+            hashes = np.empty(len(ranges), KEY)
+            hashes["anchor"], hashes["whole"], hashes["second"] = anchor >> U(32), whole, second >> U(32)
             order = np.argsort(bucket, kind="stable")
             rows = [(*row[:3], row[3]) for row in _by_bucket(bucket[order], OPEN, ranges[order], hashes[order])]
             flats, at = [], 0
@@ -393,11 +395,15 @@ def first_anchor(buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return near[np.arange(len(starts)), best]
 
 
+def sorted_places(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places, both under 2**32, sorted by key and place: one sort of keys with their places behind them."""
+    both = (keys.astype(np.uint64) << U(32)) | places.astype(np.uint64)
+    both.sort()
+    return (both >> U(32)).astype(np.uint32), (both & U(0xFFFFFFFF)).astype(np.int64)
+
+
 def stable_order(keys: np.ndarray) -> np.ndarray:
-    """Stable order of keys under 2**32, of fewer than 2**32 places: one sort of keys with their places behind them."""
-    with_place = (keys.astype(np.uint64) << U(32)) | np.arange(len(keys), dtype=np.uint64)
-    with_place.sort()
-    return (with_place & U(0xFFFFFFFF)).astype(np.int64)
+    return sorted_places(keys, np.arange(len(keys), dtype=np.uint64))[1]
 
 
 def named(grams: np.ndarray) -> np.ndarray:
@@ -438,8 +444,9 @@ class Shard:
                 full[: self.n - ahead] &= step[k : self.n - ahead + k]
             behind[~full] = 0
             order = stable_order(behind)
-            order = order[stable_order(rank[order])]
-            r, s = rank[order], behind[order]
+            r, at = sorted_places(rank[order], np.arange(self.n))
+            order = order[at]
+            s = behind[order]
             fresh = np.empty(self.n, np.uint32)
             fresh[order] = np.cumsum(np.r_[False, (r[1:] != r[:-1]) | (s[1:] != s[:-1])]) if self.n else 0
             rank, ahead = fresh, ahead * 2
@@ -452,29 +459,28 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of all shards, sorted by ``LENGTH`` bytes, and each one's block of equal ones."""
     numbers = np.arange(len(shards), dtype=np.uint32)
     interleave = np.repeat(numbers, [s.n for s in shards])
-    blocks = np.zeros(len(interleave), np.int64)
+    blocks = np.zeros(len(interleave), np.uint32)
     ends = np.repeat(numbers, [s.ends for s in shards])
     transform = np.concatenate([s.transform for s in shards])
     for _ in range(LENGTH // STEP):
         symbol = np.empty(len(interleave), transform.dtype)
         # a shard's symbols keep their order wherever the interleave puts them
         symbol[stable_order(interleave)] = transform
-        known = np.flatnonzero(symbol > 0)
-        order = known[stable_order(symbol[known])]
+        known = np.flatnonzero(symbol)
+        of, order = sorted_places(symbol[known], known)
+        blocks, interleave = blocks[order], interleave[order]
         new = np.ones(len(order), bool)
-        new[1:] = (symbol[order[1:]] != symbol[order[:-1]]) | (blocks[order[1:]] != blocks[order[:-1]])
-        interleave = np.concatenate([ends, interleave[order]])
-        blocks = np.concatenate([np.zeros(len(ends), np.int64), np.cumsum(new)])
+        new[1:] = (of[1:] != of[:-1]) | (blocks[1:] != blocks[:-1])
+        interleave = np.concatenate([ends, interleave])
+        blocks = np.concatenate([np.zeros(len(ends), np.uint32), np.cumsum(new, dtype=np.uint32)])
     place = np.empty(len(interleave), np.int64)
     place[stable_order(interleave)] = np.concatenate([s.suffixes for s in shards])
     return place, blocks
 
 
-def repeated_windows(batches: list[tuple[np.ndarray, np.ndarray]], shard: int = SHARD) -> np.ndarray:
-    """Ranges (of one window each) that repeat an earlier one; batches of (ranges, their bytes), ``shard`` snippets a shard."""
-    ranges = np.concatenate([r for r, _ in batches])
+def repeated_windows(ranges: np.ndarray, flat: np.ndarray, shard: int = SHARD) -> np.ndarray:
+    """Ranges (of one window each) that repeat an earlier one, of ranges and their bytes, with ``shard`` snippets a shard."""
     lens = ranges["more"].astype(np.int64) + LENGTH
-    flat = np.concatenate([b for _, b in batches])
     starts = np.r_[0, np.cumsum(lens)[:-1]]
     # one extra place per snippet for its end
     place_start = starts + np.arange(len(lens))
@@ -529,32 +535,50 @@ def joined_ranges(ranges: np.ndarray) -> np.ndarray:
     return out
 
 
+def _merges(packed: list[tuple[bytes, bytes, bytes]], each: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Snippets (packed ranges, hashes, bytes) of a bucket, dealt by anchor into merges of about ``each``, in the order they came."""
+    ranges = np.concatenate([np.frombuffer(r, RANGE) for r, _, _ in packed])
+    anchor = np.concatenate([np.frombuffer(h, KEY)["anchor"] for _, h, _ in packed])
+    flat = np.concatenate([np.frombuffer(b, np.uint8) for _, _, b in packed])
+    lens = ranges["more"].astype(np.int64) + LENGTH
+    start = np.r_[0, np.cumsum(lens)[:-1]]
+    merge_of = anchor % np.uint32(-(-len(ranges) // each))
+    order = stable_order(merge_of)
+    cuts = np.r_[np.flatnonzero(_grouped([merge_of[order]])), len(order)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        who = order[a:b]
+        yield ranges[who], flat[_places(start[who], lens[who])]
+
+
 def _merged(snippets: DataFrame, copies: DataFrame, n: int) -> DataFrame:
     """(doc_id, ranges): the windows of merged snippets that repeat an earlier one, and the copies of merged snippets."""
-    shard = SHARD
+    shard, each = SHARD, MERGED
+
+    def rows(part: np.ndarray) -> pa.RecordBatch:
+        doc, _, packed, _ = zip(*_by_doc(part, REPEAT), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "ranges"])
 
     def run(batches):
-        names = ["doc_id", "ranges"]
         for group in keyed_runs(batches, 1):
             kinds = [b.column(1).to_numpy() for b in group]
-            shards = [(np.frombuffer(r, RANGE), np.frombuffer(s, np.uint8)) for b, k in zip(group, kinds, strict=True) for r, s in zip(*(b.filter(pa.array(k == OPEN)).column(i).to_pylist() for i in (2, 4)), strict=True)]
-            if not shards:
+            of = lambda kind, *columns: [x for b, k in zip(group, kinds, strict=True) for x in zip(*(b.filter(pa.array(k == kind)).column(i).to_pylist() for i in columns), strict=True)]  # noqa: E731, B023
+            packed = of(OPEN, 2, 3, 4)
+            if not packed:
                 continue
-            merged = np.concatenate([np.frombuffer(h, KEY) for b, k in zip(group, kinds, strict=True) for h in b.filter(pa.array(k == OPEN)).column(3).to_pylist()])
-            found = [joined_ranges(x) for x in [repeated_windows(shards, shard)] if len(x)]
+            for ranges, flat in _merges(packed, each):
+                found = repeated_windows(ranges, flat, shard)
+                if len(found):
+                    yield rows(joined_ranges(found))
+            merged = np.concatenate([np.frombuffer(h, KEY) for _, h, _ in packed])
             known = np.unique(merged["whole"] ^ merged["second"])
-            for b, k in zip(group, kinds, strict=True):
-                more = b.filter(pa.array(k == COPY))
-                for r, h in zip(more.column(2).to_pylist(), more.column(3).to_pylist(), strict=True):
-                    places, keys = np.frombuffer(r, RANGE), np.frombuffer(h, KEY)
-                    found.append(places[np.isin(keys["whole"] ^ keys["second"], known)])
-            for part in found:
-                if len(part):
-                    doc, _, packed, _ = zip(*_by_doc(part, REPEAT), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(packed, pa.binary())], names=names)
-
-    rows = snippets.unionByName(copies.select("key", "kind", "ranges", "hashes", F.lit(None).cast("binary").alias("bytes")))
-    return rows.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(run, "doc_id long, ranges binary")
+            for r, h in of(COPY, 2, 3):
+                places, keys = np.frombuffer(r, RANGE), np.frombuffer(h, KEY)
+                places = places[np.isin(keys["whole"] ^ keys["second"], known)]
+                if len(places):
+                    yield rows(places)
+
+    both = snippets.unionByName(copies.select("key", "kind", "ranges", "hashes", F.lit(None).cast("binary").alias("bytes")))
+    return both.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(run, "doc_id long, ranges binary")
 
 
 def spans(packed: list[bytes]) -> list[tuple[int, int]]:

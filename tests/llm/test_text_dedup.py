@@ -44,7 +44,7 @@ def test_suffix_hot_anchors(spark, monkeypatch):
     """A string that many texts hold between different words: its windows are dealt one by one."""
     import random
 
-    for name, value in (("WIDE_FROM", 6), ("HELD", 40), ("SHARD", 5)):
+    for name, value in (("WIDE_FROM", 6), ("HELD", 40), ("SHARD", 5), ("MERGED", 30)):
         monkeypatch.setattr(suffix_dedup, name, value)
     rnd = random.Random(6)
     word = lambda n: "".join(rnd.choice("abcdefghijkl ") for _ in range(n))
@@ -97,7 +97,7 @@ def test_suffix_merge_alone(monkeypatch):
                 want.add((i, s))
             seen.add(raw[s : s + 100])
     for shard in (2, 15, 1000):
-        found = suffix_dedup.repeated_windows(batches, shard)
+        found = suffix_dedup.repeated_windows(*(np.concatenate(x) for x in zip(*batches, strict=True)), shard)
         assert set(zip(found["doc"].tolist(), found["at"].tolist(), strict=True)) == want
     assert made[0] >= 30 and made[1] >= 3
 
