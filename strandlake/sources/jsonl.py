@@ -93,11 +93,35 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
     return True
 
 
-def cached(spark: SparkSession, path: str, build) -> DataFrame:
-    """A table built once under a path that names its parameters, then read."""
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def write_prompts(prompts: DataFrame, questions: DataFrame, path: str) -> bool:
+    """JSON lines {prompt, question, answer} of prompts (position, prompt) and questions (position, question, answer), in order."""
+    rows = prompts.select("position", "prompt").join(questions.select("position", "question", "answer"), "position")
+    return write_jsonl(rows.orderBy("position").select("prompt", "question", "answer"), path)
+
+
+def checker_rows(answers: DataFrame) -> DataFrame:
+    """Answers as an external checker of retrieval reads them (EVL-10), from (query_id, query, gt_answer, response, texts)."""
+    context = F.transform("texts", lambda t: F.struct(t.alias("text")))
+    return answers.select("query_id", "query", "gt_answer", "response", context.alias("retrieved_context"))
+
+
+def write_checker(answers: DataFrame, path: str) -> bool:
+    """One JSON line a query, in order of the ids."""
+    return write_jsonl(checker_rows(answers).orderBy("query_id"), path)
+
+
+def cached(spark: SparkSession, path: str, build, **parameters) -> DataFrame:
+    """A table built once under a path that names its parameters, then read (chunks, embeddings, an index)."""
+    at = path + "".join(f"_{k}={v}" for k, v in sorted(parameters.items()))
+    if not _exists(spark, f"{at}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table; a missing one is fine."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str) -> DataFrame:

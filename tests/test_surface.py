@@ -42,7 +42,7 @@ def test_label_sets(spark):
 
 
 class Sub:
-    def chat(self, prompts):
+    def chat(self, prompts, max_new_tokens=1024):
         return ["assistant\nhere ## one ## two" if "sub-questions" in p else "assistant\nA" + str(p.count("Q: ")) for p in prompts]
 
 
