@@ -43,6 +43,14 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Common tokens with multiplicity."""
-    count = lambda xs, t: F.size(F.filter(xs, lambda y: y == t))
-    return F.aggregate(F.transform(F.array_distinct(a), lambda t: F.least(count(a, t), count(b, t))), F.lit(0), lambda s, x: s + x)
+    """Common tokens with multiplicity: one walk over both lists sorted together, tokens of ``a`` first."""
+    side = lambda xs, n: F.transform(xs, lambda t: F.struct(t.alias("t"), F.lit(n).alias("side")))
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("open"), F.lit(0).alias("n"))
+
+    def step(s, x):
+        held = F.when(s["t"] == x["t"], s["open"]).otherwise(F.lit(0))
+        hit = (x["side"] == 1) & (held > 0)
+        one = F.when(hit, F.lit(1)).otherwise(F.lit(0))
+        return F.struct(x["t"].alias("t"), (held + F.when(x["side"] == 0, F.lit(1)).otherwise(-one)).alias("open"), (s["n"] + one).alias("n"))
+
+    return F.aggregate(F.array_sort(F.concat(side(a, 0), side(b, 1))), start, step, lambda s: s["n"])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The 32 ASCII punctuation characters as a class, the articles, the sentinel of an unreadable number.
+#: The 32 ASCII punctuation characters as a class, the articles, the sentinel of an unreadable
+#: number and the digits beyond which a number counts as one.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 ARTICLES = ("a", "an", "the")
 INVALID = -9999999
+DIGITS = 4300
 SENTENCE = r"(?<=\.)\s*(?=[A-Z]|\n)"
 
 
@@ -53,11 +55,15 @@ def after_thinking(s: Column) -> Column:
 
 
 def answer_value(s: Column) -> Column:
-    """The last run of digits, commas dropped; INVALID if there is none or it starts with a 0."""
+    """The last run of digits, commas dropped, as decimal text; INVALID if there is none or another number starts with a 0.
+
+    Text, since a number may have any length up to ``DIGITS``; cast it where a type holds it.
+    """
     found = F.regexp_extract_all(F.regexp_replace(s, ",", ""), F.lit(r"(\d+)"), F.lit(1))
     last = F.when(F.size(found) > 0, F.element_at(found, -1))
-    bad = last.isNull() | (F.length(last) > 18) | (last.startswith("0") & (last != "0"))
-    return F.when(bad, F.lit(INVALID).cast("long")).otherwise(last.try_cast("long"))
+    zeros = last.rlike("^0+$")
+    bad = last.isNull() | (F.length(last) > DIGITS) | (last.startswith("0") & ~zeros)
+    return F.when(bad, F.lit(str(INVALID))).when(zeros, F.lit("0")).otherwise(last)
 
 
 def detailed_instruct(task: Column, query: Column) -> Column:

@@ -19,7 +19,8 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(eps)))
+    """The vector over its norm, which is taken once."""
+    return F.zip_with(v, F.array_repeat(F.greatest(norm(v), F.lit(eps)), F.size(v)), lambda x, n: x / n)
 
 
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,20 +21,22 @@ def recursive_chunks(text: str, size: int = 3000, overlap: int = 600, ladder: tu
     finer = ladder[ladder.index(sep) + 1 :]
     parts = text.split(sep) if sep else list(text)
     out: list[str] = []
-    held: list[str] = []
-    length = lambda xs: sum(map(len, xs)) + len(sep) * max(0, len(xs) - 1)
+    held: deque[str] = deque()
+    size_held = 0  # characters of the held parts with a separator after each
     for p in (p for p in parts if p):
         if len(p) > size:
             if held:
                 out.append(sep.join(held))
-                held = []
+                held.clear()
+                size_held = 0
             out += recursive_chunks(p, size, overlap, finer or ("",))
             continue
-        if held and length([*held, p]) > size:
+        if held and size_held + len(p) > size:
             out.append(sep.join(held))
-            while held and (length(held) > overlap or length([*held, p]) > size):
-                held.pop(0)
+            while held and (size_held - len(sep) > overlap or size_held + len(p) > size):
+                size_held -= len(held.popleft()) + len(sep)
         held.append(p)
+        size_held += len(p) + len(sep)
     if held:
         out.append(sep.join(held))
     return [x.strip() for x in out if x.strip()]
@@ -43,15 +46,18 @@ def token_chunks(text: str, budget: int = 300, overlap: int = 50, tokens: Callab
     """Whole sentences up to a budget of tokens; trailing sentences within the overlap begin the next."""
     out: list[list[str]] = []
     held: list[tuple[str, int]] = []
+    total = 0
     for s in (s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()):
         n = tokens(s)
-        if held and sum(k for _, k in held) + n > budget:
+        if held and total + n > budget:
             out.append([x for x, _ in held])
-            keep: list[tuple[str, int]] = []
-            while held and sum(k for _, k in keep) + held[-1][1] <= overlap:
-                keep.insert(0, held.pop())
-            held = keep if sum(k for _, k in keep) + n <= budget else []
+            kept, first = 0, len(held)
+            while first and kept + held[first - 1][1] <= overlap:
+                first -= 1
+                kept += held[first][1]
+            held, total = (held[first:], kept) if kept + n <= budget else ([], 0)
         held.append((s, n))
+        total += n
     if held:
         out.append([x for x, _ in held])
     return [" ".join(x) for x in out]

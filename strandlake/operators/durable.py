@@ -3,21 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the shared folder that ``spark.checkpoint.dir`` names.
+def _shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, set as the checkpoint folder.
 
     Only a local session may go without the setting; it then gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        at = spark.conf.get("spark.checkpoint.dir", None)
         if not at:
             if not (sc.master == "local" or sc.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = tempfile.mkdtemp(prefix="strandlake-")
         sc.setCheckpointDir(at)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_shared(spark)}/strandlake-{name}-{uuid.uuid4().hex}"

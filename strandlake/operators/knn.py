@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+BLOCK = 8192
+#: Queries whose distances are held at a time.
+ROWS = 64
 CHUNK_BYTES = 64 << 20
 
 
@@ -21,6 +23,35 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def nearest_rows(k: int, metric: str, digits: int):
+    """A function of two Arrow tables (key, v), queries and vectors, that gives the k nearest of each query: qid, id, dist."""
+
+    def nearest(a, b):
+        ids, keys = b.column("key").to_numpy(), a.column("key").to_numpy()
+        if not len(ids) or not len(keys):
+            return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        v, x = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (a, b))
+        rows = []
+        for lo in range(0, len(keys), ROWS):
+            d = np.round(distances(v[lo : lo + ROWS], x, metric), digits) + 0.0  # no negative zero
+            for key, row in zip(keys[lo : lo + ROWS], d, strict=True):
+                # all ties of the k-th, of which the smaller ids stay
+                last = np.partition(row, k - 1)[k - 1] if 0 < k < len(row) else np.nan
+                near = np.arange(len(row)) if np.isnan(last) else np.flatnonzero(row <= last)
+                near = near[np.lexsort((ids[near], row[near]))[:k]]
+                rows.append((np.repeat(key, len(near)), ids[near], row[near]))
+        key, who, dist = (np.concatenate(c) for c in zip(*rows, strict=True))
+        return pa.table({"qid": pa.array(key, pa.int64()), "id": pa.array(who, pa.int64()), "dist": pa.array(dist, pa.float64())})
+
+    return nearest
+
+
+def best_of(part: DataFrame, k: int) -> DataFrame:
+    """qid, rank, id, dist: of partial neighbours the k nearest, ties to the smaller id."""
+    w = Window.partitionBy("qid").orderBy("dist", "id")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", digits: int = 9, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Exact k nearest vectors of each query: qid, rank, id, dist.
 
@@ -37,22 +68,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "l2", digi
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.select(F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"), every(chunks).alias("c"), F.col("qid").alias("key"), "v")
     right = x.select(every(blocks).alias("b"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("c"), F.col("id").alias("key"), "v")
-
-    def nearest(a, b):
-        ids, keys = b.column("key").to_numpy(), a.column("key").to_numpy()
-        if not len(ids) or not len(keys):
-            return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-        d = np.round(distances(np.array(a.column("v").to_pylist()), np.array(b.column("v").to_pylist()), metric), digits) + 0.0  # no negative zero
-        rows = []
-        for i in range(len(keys)):
-            near = np.lexsort((ids, d[i]))[:k]
-            rows.append((np.repeat(keys[i], len(near)), ids[near], d[i][near]))
-        key, who, dist = (np.concatenate(c) for c in zip(*rows, strict=True))
-        return pa.table({"qid": pa.array(key, pa.int64()), "id": pa.array(who, pa.int64()), "dist": pa.array(dist, pa.float64())})
-
-    part = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(nearest, "qid long, id long, dist double")
-    w = Window.partitionBy("qid").orderBy("dist", "id")
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
+    part = left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(nearest_rows(k, metric, digits), "qid long, id long, dist double")
+    return best_of(part, k)
 
 
 def topk_lists(neighbours: DataFrame, k: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.similarity import content_set, distance, scale
@@ -13,16 +13,33 @@ def contents(lists: DataFrame) -> DataFrame:
     return lists.select("idx", content_set(F.col("doc_ids")).alias("content"))
 
 
+#: Rows of an id that meet the other side's rows in one task.
+SPLIT = 2_000
+
+
+def shared_ids(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of both sides that hold the same ``doc``; the rows of a frequent id are split over several tasks.
+
+    ``left`` goes to one part of its id, ``right`` to all of them: an id of n rows costs n / ``SPLIT`` copies of its
+    right side, and no task meets more than about ``SPLIT`` of its left rows.
+    """
+    counts = left.groupBy("doc").agg(F.ceil(F.count("*") / SPLIT).cast("long").alias("parts__"))
+    spread = left.join(counts, "doc").withColumn("part__", F.pmod(F.xxhash64(*left.columns), F.col("parts__"))).drop("parts__")
+    every = right.join(counts, "doc").withColumn("part__", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts__") - 1))).drop("parts__")
+    return spread.join(every, ["doc", "part__"]).drop("part__")
+
+
 def pair_overlap(lists: DataFrame) -> DataFrame:
     """Pairs i < j of lists that share an id, through an inverted index: same_items, similarities, dist.
 
-    Pairs that share nothing are implicit (distance 1).
+    Pairs that share nothing are implicit (distance 1). All pairs that share an id are the result, so an
+    id in n lists gives n (n - 1) / 2 of them.
     """
     sets = contents(lists).withColumn("n", F.size("content"))
     items = sets.select("idx", "n", F.explode("content").alias("doc"))
     a = items.select("doc", F.col("idx").alias("i"), F.col("n").alias("ni"))
     b = items.select("doc", F.col("idx").alias("j"), F.col("n").alias("nj"))
-    pairs = a.join(b, "doc").where("i < j").groupBy("i", "j", "ni", "nj").agg(F.count("*").alias("same_items"))
+    pairs = shared_ids(a, b).where("i < j").groupBy("i", "j", "ni", "nj").agg(F.count("*").alias("same_items"))
     x = F.col("same_items") / F.greatest("ni", "nj")
     out = pairs.select("i", "j", "same_items", scale(x, "direct").alias("direct"), scale(x, "square").alias("square"), scale(x, "sharp").alias("sharp"))
     return out.withColumn("dist", distance(F.col("sharp")))
@@ -52,10 +69,22 @@ def closest(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     sets = contents(lists).withColumn("n", F.size("content"))
     tree = nodes.select("node_id", F.explode("content").alias("doc"), F.size("content").alias("m"))
-    hits = sets.select("idx", "n", F.explode("content").alias("doc")).join(tree, "doc").groupBy("idx", "n", "node_id", "m").count()
+    hits = shared_ids(sets.select("idx", "n", F.explode("content").alias("doc")), tree).groupBy("idx", "n", "node_id", "m").count()
     d = hits.withColumn("dist", F.round(distance(scale(F.col("count") / F.greatest("n", "m"))), 9))
-    w = Window.partitionBy("idx").orderBy("dist", "node_id")
-    near = d.withColumn("r", F.row_number().over(w)).where("r = 1").select("idx", "node_id", "dist")
-    first = F.broadcast(nodes.agg(F.min("node_id").alias("first")).where("first is not null"))  # one row
-    every = sets.select("idx").distinct().join(near, "idx", "left").crossJoin(first)
-    return every.select("idx", F.coalesce("node_id", "first").alias("node_id"), F.coalesce("dist", F.lit(1.0)).alias("dist"))
+    best = d.groupBy("idx").agg(F.min(F.struct("dist", "node_id")).alias("b"))
+    near = best.select("idx", "b.node_id", "b.dist")
+    first = nodes.agg(F.min("node_id")).first()[0]
+    every = sets.select("idx").distinct().join(near, "idx", "left").where(F.lit(first is not None))
+    return every.select("idx", F.coalesce("node_id", F.lit(first)).alias("node_id"), F.coalesce("dist", F.lit(1.0)).alias("dist"))
+
+
+def closest_path(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nearest node of each list and its path to the root (TOP-7): idx, node_id, dist, path.
+
+    ``nodes`` (node_id, content, parent); the path begins with the node itself.
+    """
+    from strandlake.operators.tree import ancestors
+
+    up = ancestors(nodes.select("node_id", "parent")).groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "ancestor"))), lambda s: s["ancestor"]).alias("up"))
+    near = closest(lists, nodes).join(up, "node_id", "left")
+    return near.select("idx", "node_id", "dist", F.concat(F.array("node_id"), F.coalesce("up", F.array().cast("array<bigint>"))).alias("path"))

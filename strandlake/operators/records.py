@@ -1,4 +1,4 @@
-"""Joins of records (JOIN-1..3, JOIN-5..7, PRJ-2..3, FLT-1, FLT-7, LIM-1..2, AGG-11)."""
+"""Joins of records (JOIN-1..3, JOIN-5..7, PRJ-2..3, FLT-7, LIM-1..2)."""
 
 from __future__ import annotations
 
@@ -31,10 +31,3 @@ def batches(rows: DataFrame, size: int = 4) -> DataFrame:
     """Rows (position, ...) with the number of their batch."""
     return rows.withColumn("batch", F.floor(F.col("position") / size).cast("long"))
 
-
-def alias_product(triples: DataFrame, names: DataFrame) -> DataFrame:
-    """Gold triples (gid, subj, rel, obj) with every alias of subject and object (key, name)."""
-    s = names.select(F.col("key").alias("subj"), F.col("name").alias("s"))
-    o = names.select(F.col("key").alias("obj"), F.col("name").alias("o"))
-    j = triples.join(s, "subj", "left").join(o, "obj", "left")
-    return j.select("gid", F.coalesce("s", "subj").alias("subj"), "rel", F.coalesce("o", "obj").alias("obj")).distinct()

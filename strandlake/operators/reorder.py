@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.similarity import common_prefix
+from strandlake.operators.durable import checkpointed
+from strandlake.operators.ranks import ranked
+from strandlake.sources import jsonl
 
 
 def prefix_groups(lists: DataFrame) -> DataFrame:
@@ -13,35 +16,30 @@ def prefix_groups(lists: DataFrame) -> DataFrame:
 
     Sharing a first id is an equivalence, so groups are those of the first id; an empty list is one of
     its own. A group's seed is its first list, its strength the longest prefix the seed shares with
-    another. Members: larger, then smaller list, then earlier. Groups: stronger, then smaller head.
+    another. Members: larger, then smaller list, then earlier. Groups: stronger, then smaller head, then
+    earlier seed. ``new_pos`` counts from 0 over all lists, ``in_group`` from 1. Lists are sorted once,
+    by range, so neither a frequent first id nor the whole batch is one task's work.
     """
     key = F.when(F.size("doc_ids") > 0, F.concat(F.lit("f"), F.element_at("doc_ids", 1).cast("string"))).otherwise(F.concat(F.lit("e"), F.col("idx").cast("string")))
-    d = lists.withColumn("grp", key)
-    seed = d.groupBy("grp").agg(F.min("idx").alias("seed"), F.min_by("doc_ids", "idx").alias("seed_ids"), F.count("*").alias("members"))
-    j = d.join(seed, "grp")
+    d = checkpointed(lists.select("idx", "doc_ids").withColumn("grp", key))
+    head = F.min(F.struct((-F.size("doc_ids")).alias("s"), "doc_ids", "idx"))
+    info = d.groupBy("grp").agg(F.min("idx").alias("seed"), F.min_by("doc_ids", "idx").alias("seed_ids"), head.alias("head"), F.count("*").alias("members"))
+    j = checkpointed(d.join(info.select("grp", "seed", "seed_ids", "members", F.col("head.doc_ids").alias("head_ids")), "grp"))
     strength = j.where("idx <> seed").groupBy("grp").agg(F.max(common_prefix(F.col("seed_ids"), F.col("doc_ids"))).alias("strength"))
-    head = d.groupBy("grp").agg(F.min(F.struct((-F.size("doc_ids")).alias("s"), "doc_ids", "idx")).alias("head"))
-    info = seed.join(strength, "grp", "left").join(head, "grp").select("grp", "seed", "members", F.coalesce("strength", F.lit(0)).alias("strength"), F.col("head.doc_ids").alias("head_ids"))
-    inner = Window.partitionBy("grp").orderBy(F.desc(F.size("doc_ids")), "doc_ids", "idx")
-    return d.join(info, "grp").withColumn("in_group", F.row_number().over(inner))
+    g = j.drop("seed_ids").join(strength, "grp", "left").withColumn("strength", F.coalesce("strength", F.lit(0)))
+    g = checkpointed(ranked(g, [F.desc("strength"), F.col("head_ids"), F.col("seed"), F.desc(F.size("doc_ids")), F.col("doc_ids"), F.col("idx")], "new_pos"))
+    start = g.groupBy("grp").agg(F.min("new_pos").alias("start"))
+    return g.join(start, "grp").withColumn("in_group", (F.col("new_pos") - F.col("start") + 1).cast("int")).drop("start")
 
 
 def rewrite(lists: DataFrame) -> DataFrame:
     """Each list with the ids common to its group first, sorted, then the rest sorted; lone lists stay."""
-    g = prefix_groups(lists)
+    g = checkpointed(prefix_groups(lists))
     items = g.where("members > 1").select("grp", "members", "idx", F.explode(F.array_distinct("doc_ids")).alias("doc"))
     common = items.groupBy("grp", "members", "doc").agg(F.count("*").alias("n")).where("n = members").groupBy("grp").agg(F.array_sort(F.collect_list("doc")).alias("common"))
     out = g.join(common, "grp", "left")
     rest = F.array_sort(F.filter("doc_ids", lambda x: ~F.array_contains(F.col("common"), x)))
-    return out.select("idx", "grp", "members", "strength", "seed", "head_ids", "in_group", F.when(F.col("members") > 1, F.concat("common", rest)).otherwise(F.col("doc_ids")).alias("new_ids"))
-
-
-def placed(rewritten: DataFrame) -> DataFrame:
-    """With ``new_pos``, the place in the reordered batch; groups are numbered first, then offset."""
-    groups = rewritten.groupBy("grp", "members", "strength", "seed", "head_ids").agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("strength"), "head_ids", "seed")
-    starts = groups.withColumn("start", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))).select("grp", F.coalesce("start", F.lit(0)).alias("start"))
-    return rewritten.join(starts, "grp").withColumn("new_pos", F.col("start") + F.col("in_group") - 1)
+    return out.select("idx", "grp", "members", "strength", "seed", "head_ids", "in_group", "new_pos", F.when(F.col("members") > 1, F.concat("common", rest)).otherwise(F.col("doc_ids")).alias("new_ids"))
 
 
 def reorder_rows(rows: DataFrame, indices: DataFrame) -> DataFrame:
@@ -57,6 +55,18 @@ def reorder_rows(rows: DataFrame, indices: DataFrame) -> DataFrame:
     return rows.join(first, rows["position"] == first["idx"]).drop("idx")
 
 
+def reorder_file(spark: SparkSession, path: str, schema: str, indices: DataFrame, out: str | None = None) -> DataFrame:
+    """Rows of a JSON-lines file in the order of indices (ord, idx), written to ``out`` if given (SORT-2).
+
+    Positions are those of the lines that hold a row.
+    """
+    rows = ranked(jsonl.positions(jsonl.read_jsonl(spark, path, schema), "line__"), [F.col("line__")], "position").drop("line__")
+    done = reorder_rows(rows, indices).orderBy("new_position").drop("position", "new_position")
+    if out is not None:
+        jsonl.write_jsonl(done, out)
+    return done
+
+
 def by_leaf(lists: DataFrame, leaves: DataFrame) -> DataFrame:
     """Lists with their shared prefix first (SORT-3); leaves: (idx, frequency, content, shared).
 
