@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import costs, metrics, prompts, similarity, text, vectors
 from strandlake.operators import chunking, evaluate, knn, overlap, placement, rag, records, reorder, tree
+from strandlake.operators.durable import shared_path
+from strandlake.operators.vector_index import VectorIndex
 from strandlake.sources import jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +55,7 @@ def knn_sql(metric: str, k: int) -> str:
     d = {
         "l2": "list_sum(list_transform(list_zip(q.v, x.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))",
         "cosine": "1 - list_cosine_similarity(q.v, x.v)",
+        "dot": "-list_dot_product(q.v, x.v)",
     }[metric]
     return f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
     d AS (SELECT q.id AS qid, x.id AS id, round({d}, 9) AS dist FROM e q, e x WHERE q.id % 100 = 0),
@@ -70,6 +73,28 @@ def knn_cosine_top10(spark, sf):
     return neighbours(spark, sf, 10, "cosine")
 
 
+@query(knn_sql("dot", 10))
+def knn_dot_top10(spark, sf):
+    return neighbours(spark, sf, 10, "dot")
+
+
+@query()
+def vector_index_top10(spark, sf):
+    """Through a stored index: lists around centroids, of which a search reads the nearest."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = VectorIndex.build(e, shared_path(spark, "index"))
+    return index.search(e.where("id % 100 = 0").withColumnRenamed("id", "qid"), 10)
+
+
+@query(knn_sql("l2", 10))
+def vector_index_exact(spark, sf):
+    """All lists of a stored index, some of whose vectors were appended later."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    index = VectorIndex.build(e.where("id % 3 > 0"), shared_path(spark, "index"), lists=12)
+    index.append(e.where("id % 3 = 0"))
+    return index.search(e.where("id % 100 = 0").withColumnRenamed("id", "qid"), 10, probes=12)
+
+
 @query(f"SELECT qid, list(id ORDER BY rank) AS doc_ids FROM ({knn_sql('cosine', 20)}) GROUP BY qid")
 def batch_topk_lists(spark, sf):
     return knn.topk_lists(neighbours(spark, sf, 20, "cosine"))
@@ -112,9 +137,8 @@ def pool_variants(spark, sf):
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm, CAST(1 AS DOUBLE) AS norm_after FROM embeddings")
 def normalized_norms(spark, sf):
     v = vectors.doubles(F.col("embedding"))
-    e = read(spark, sf, "embeddings").select("vec_id", v.alias("v"), vectors.norm(v).alias("n"))
-    e = e.select("vec_id", "n", F.transform("v", lambda x: x / F.greatest(F.col("n"), F.lit(1e-12))).alias("u"))
-    return e.select("vec_id", F.round("n", 6).alias("norm"), F.round(vectors.norm(F.col("u")), 6).alias("norm_after"))
+    e = read(spark, sf, "embeddings").select("vec_id", v.alias("v"))
+    return e.select("vec_id", F.round(vectors.norm(F.col("v")), 6).alias("norm"), F.round(vectors.norm(vectors.l2_normalize(F.col("v"))), 6).alias("norm_after"))
 
 
 @query(
@@ -174,7 +198,7 @@ def prefix_groups(spark, sf):
       CAST(start + in_group - 1 AS BIGINT) AS new_pos FROM g LEFT JOIN c USING (g) JOIN o USING (g)"""
 )
 def lcp_rewrite(spark, sf):
-    return reorder.placed(reorder.rewrite(baskets(spark, sf, 50))).select("idx", "new_ids", F.col("new_pos").cast("long").alias("new_pos"))
+    return reorder.rewrite(baskets(spark, sf, 50)).select("idx", "new_ids", F.col("new_pos").cast("long").alias("new_pos"))
 
 
 def numbered(spark, sf) -> DataFrame:
@@ -366,7 +390,7 @@ def split_markers(spark, sf):
 )
 def answer_values(spark, sf):
     s = F.col("s")
-    return tagged(spark, sf).select("conv_id", "turn", text.after_thinking(s).alias("answer"), text.answer_value(s).alias("value"), text.detailed_instruct(F.lit("find"), s).alias("instruct"))
+    return tagged(spark, sf).select("conv_id", "turn", text.after_thinking(s).alias("answer"), text.answer_value(s).cast("long").alias("value"), text.detailed_instruct(F.lit("find"), s).alias("instruct"))
 
 
 @query("SELECT event_id, json_extract_string(props, k) AS value, k AS key FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
@@ -404,7 +428,17 @@ def prompt_importance(spark, sf):
     return nearest_docs(spark, sf).select("idx", prompts.importance(F.col("doc_ids")).alias("ranking"))
 
 
-@query()
+def _literal(template: str, *values: str) -> str:
+    """SQL that fills a template's places with expressions."""
+    quoted = ["'" + p.replace("'", "''") + "'" for p in template.split("{}")]
+    return " || ".join(x for pair in zip(quoted, [*values, "''"], strict=True) for x in pair)
+
+
+@query(
+    f"""WITH n AS ({NEAR}), i AS (SELECT qid, unnest(ids) AS id, unnest(range(5)) AS pos FROM n),
+    d AS (SELECT qid, string_agg('[Doc ' || id || '] ' || text, chr(10) || chr(10) ORDER BY pos) AS s FROM i JOIN documents ON id = doc_id GROUP BY qid)
+    SELECT n.qid AS idx, {_literal(prompts.RANKED, STRIP.format('s'), "'Which?'", "array_to_string(list_transform(ids, lambda x: '[Doc ' || x || ']'), ' > ')")} AS prompt FROM d JOIN n ON n.qid = d.qid"""
+)
 def prompt_ranked(spark, sf):
     corpus = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     n = nearest_docs(spark, sf)
@@ -539,22 +573,6 @@ def knn_cost(spark, sf):
     return p.select("p_partkey", F.round(costs.knn_cost(F.col("p_partkey") * F.lit(1000.0), F.col("p_size") * 64, F.lit(1024.0), F.lit(128.0)), 6).alias("cost"))
 
 
-@query(
-    f"""WITH {B}, s AS (SELECT idx, list_distinct(doc_ids) AS c FROM lists), i AS (SELECT idx, len(c) AS n, unnest(c) AS doc FROM s),
-    h AS (SELECT a.idx, b.idx AS node_id, a.n, b.n AS m, count(*) AS c FROM i a JOIN i b ON a.doc = b.doc AND b.idx % 5 = 0 GROUP BY ALL),
-    d AS (SELECT idx, node_id, round(greatest(0.0, 1 - least(1.0, (exp(2 * (c / CAST(greatest(n, m) AS DOUBLE)) * (c / CAST(greatest(n, m) AS DOUBLE))) - 1) / (exp(2.0) - 1))), 9) AS dist FROM h)
-    SELECT idx, node_id, dist FROM d QUALIFY row_number() OVER (PARTITION BY idx ORDER BY dist, node_id) = 1"""
-)
-def closest_node(spark, sf):
-    """Every list against the nodes of the lists whose key is divisible by five, as its SQL has it.
-
-    A fifth of the nodes, and only lists that share an id with one: ``closest_node_all`` is the whole search.
-    """
-    lists = baskets(spark, sf)
-    nodes = overlap.contents(lists).where("idx % 5 = 0").withColumnRenamed("idx", "node_id")
-    return overlap.closest(lists, nodes).where("dist < 1")
-
-
 @query(
     f"""WITH {B}, s AS (SELECT idx, list_distinct(doc_ids) AS c, list_distinct(doc_ids[2:]) AS q FROM lists),
     a AS (SELECT idx, len(q) AS n, unnest(q) AS doc FROM s), b AS (SELECT idx AS node_id, len(c) AS m, unnest(c) AS doc FROM s),
@@ -563,33 +581,81 @@ def closest_node(spark, sf):
     f AS (SELECT idx, node_id, dist FROM d QUALIFY row_number() OVER (PARTITION BY idx ORDER BY dist, node_id) = 1)
     SELECT s.idx, coalesce(f.node_id, (SELECT min(idx) FROM s)) AS node_id, coalesce(f.dist, 1) AS dist FROM s LEFT JOIN f ON f.idx = s.idx"""
 )
-def closest_node_all(spark, sf):
+def closest_node(spark, sf):
     """Every list without its first part, against all lists as nodes; one without parts gets the first node at distance 1."""
     lists = baskets(spark, sf)
     nodes = overlap.contents(lists).withColumnRenamed("idx", "node_id")
     return overlap.closest(lists.withColumn("doc_ids", F.slice("doc_ids", 2, F.size("doc_ids"))), nodes)
 
 
-def clicks(spark, sf) -> DataFrame:
-    """idx, doc_ids: small components for linkage, one per user: their events' types and hours."""
-    e = read(spark, sf, "events").select("event_id", "user_id", F.col("user_id") * 1000 + F.hour("ts") % 12, F.col("user_id") * 1000 + 500 + F.length("event_type"), F.col("user_id") * 1000 + 700 + (F.col("event_id") % 3))
-    e = e.toDF("idx", "user_id", "a", "b", "c")
-    return e.select("idx", F.array("a", "b", "c").alias("doc_ids"))
+def regions(spark, sf) -> DataFrame:
+    """(node_id, size, parent, frequency): the regions, asked for once per customer, below one node that they share."""
+    n = read(spark, sf, "nation").join(read(spark, sf, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
+    asked = n.groupBy("n_regionkey").agg(F.count("*").alias("frequency"))
+    r = read(spark, sf, "region").join(asked, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    leaves = r.select(F.col("r_regionkey").cast("long").alias("node_id"), (F.col("r_regionkey") + 3).alias("size"), F.lit(100).cast("long").alias("parent"), F.coalesce("frequency", F.lit(0)).alias("frequency"))
+    return leaves.unionByName(leaves.agg(F.lit(100).cast("long").alias("node_id"), F.lit(2).alias("size"), F.lit(None).cast("long").alias("parent"), F.sum("frequency").alias("frequency")))
+
+
+#: Room for documents on each tier, in blocks; a little more than whole, since capacities are in GB.
+ROOM = {"gpu": 6, "dram": 7, "disk": 9}
+ROOM_GB = {t: n * costs.BLOCK_BYTES / 1024**3 + 1e-6 for t, n in ROOM.items()}
+PLACED = "CASE {t} WHEN 'gpu' THEN 1e-5 + greatest(0, 10 - {s}) * 1200 / 5000.0::DOUBLE WHEN 'dram' THEN {s} * 421632000.0::DOUBLE / 1073741824 / 128 + greatest(0, 10 - {s}) * 1200 / 5000.0::DOUBLE WHEN 'disk' THEN {s} * 421632000.0::DOUBLE / 1073741824 / 6 + {s} * 421632000.0::DOUBLE / 1073741824 / 128 + greatest(0, 10 - {s}) * 1200 / 5000.0::DOUBLE ELSE 2.4::DOUBLE END"
+USED = "sum(CASE WHEN p[id + 1] = '{t}' THEN size ELSE 0 END) + max(CASE WHEN p[6] = '{t}' THEN 2 ELSE 0 END) <= {n}"
+
+
+@query(
+    f"""WITH n AS (SELECT r_regionkey AS id, 3 + r_regionkey AS size, count(c_custkey) AS f FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
+    t AS (SELECT unnest(['gpu', 'dram', 'disk', 'not_stored']) AS t), plans AS (SELECT [a.t, b.t, c.t, d.t, e.t, r.t] AS p FROM t a, t b, t c, t d, t e, t r),
+    c AS (SELECT p, sum(f * least({PLACED.format(t="p[id + 1]", s="size")}, {PLACED.format(t="p[6]", s="2")})) AS cost FROM plans, n GROUP BY p HAVING {" AND ".join(USED.format(t=t, n=n) for t, n in ROOM.items())})
+    SELECT 'optimal' AS status, round(min(cost), 6) AS cost, round(min(cost), 6) AS bound, round(min(cost), 6) AS routed FROM c"""
+)
+def placement_plan(spark, sf):
+    """The optimal placement of a small tree: all of its plans, tried in SQL, cost as much or more."""
+    _, routes, report = placement.plan(regions(spark, sf), 10, ROOM_GB)
+    routed = routes.agg(F.round(F.sum(F.col("frequency") * F.col("cost")), 6).alias("routed"))
+    return routed.select(F.lit(report["status"]).alias("status"), F.lit(round(report["cost"], 6)).alias("cost"), F.lit(round(report["bound"], 6)).alias("bound"), "routed")
+
+
+@query()
+def placement_report(spark, sf):
+    """What the tiers of that placement hold and serve."""
+    assigned, routes, _ = placement.plan(regions(spark, sf), 10, ROOM_GB)
+    served = routes.groupBy("storage").agg(F.sum("frequency").alias("served"))
+    use = placement.utilization(assigned, ROOM_GB).join(placement.summary(assigned), "storage")
+    return use.join(served, "storage", "left").join(placement.top_nodes(assigned, 1).select("storage", F.col("node_id").alias("first_node")), "storage")
+
+
+@query()
+def placement_routing(spark, sf):
+    """Frequency served per level of the tree under that placement, and documents still computed."""
+    return placement.routing(placement.plan(regions(spark, sf), 10, ROOM_GB)[1], 10)
+
+
+def shopping(spark, sf) -> DataFrame:
+    """idx, doc_ids: per customer the suppliers bought from, of 40 kinds in the customer's nation.
+
+    Customers of a nation share suppliers, so a component is a nation and grows with the table.
+    """
+    lines = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    doc = (F.col("c_nationkey") * 1000 + F.pmod(F.col("l_suppkey") * 7 + F.floor(F.col("c_custkey") / 5), F.lit(40))).cast("long")
+    return lines.groupBy(F.col("c_custkey").alias("idx")).agg(F.array_sort(F.collect_set(doc)).alias("doc_ids"))
 
 
 @query()
 def linkage_nodes(spark, sf):
-    return tree.shared_tree(clicks(spark, sf))
+    return tree.shared_tree(shopping(spark, sf))
 
 
 @query()
 def tree_report(spark, sf):
-    return tree.tree_report(tree.shared_tree(clicks(spark, sf), "direct", "complete"))
+    return tree.tree_report(tree.shared_tree(shopping(spark, sf), "direct", "complete"))
 
 
 @query()
 def reordered_batch(spark, sf):
-    return rag.optimize_lists(clicks(spark, sf))
+    return rag.optimize_lists(shopping(spark, sf))
 
 
 @query()
@@ -652,7 +718,7 @@ def evaluation(spark, sf):
 
 @query()
 def dendrogram_nodes(spark, sf):
-    return tree.dendrogram(clicks(spark, sf), "square", "single")
+    return tree.dendrogram(shopping(spark, sf), "square", "single")
 
 
 @query()
