@@ -78,7 +78,7 @@ def slots(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, bits: int) -> Stored:
-    """kind 0: doc_id, n, node of each document; kind 1: a scan partition's token counts, in slices."""
+    """kind 0: doc_id, version, n, node of each document; kind 1: a scan partition's token counts, in slices."""
 
     def run(batches):
         counts = np.zeros(1 << bits, np.uint32)
@@ -90,14 +90,14 @@ def _sets(docs: DataFrame, bits: int) -> Stored:
                 node.append(node_of(tokens) if len(tokens) else None)
                 np.add.at(counts, slots(tokens, bits), 1)
             size = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([None] * size, pa.binary())], names=["kind", "doc_id", "n", "node", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * size, pa.int32()), batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array([None] * size, pa.binary())], names=["kind", "doc_id", "version", "n", "node", "counts"])
         rows = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, SLICE)
         at = np.flatnonzero(rows.any(axis=1))
         if len(at):
-            void = [None] * len(at)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(at), pa.int32()), pa.array(at), pa.array([0] * len(at), pa.int64()), pa.array(void, pa.int64()), pa.array([rows[k].tobytes() for k in at], pa.binary())], names=["kind", "doc_id", "n", "node", "counts"])
+            void = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(at), pa.int32()), pa.array(at), void, pa.array([0] * len(at), pa.int64()), void, pa.array([rows[k].tobytes() for k in at], pa.binary())], names=["kind", "doc_id", "version", "n", "node", "counts"])
 
-    return Stored(docs.mapInArrow(run, "kind int, doc_id long, n long, node long, counts binary"), "sets")
+    return Stored(docs.mapInArrow(run, "kind int, doc_id long, version long, n long, node long, counts binary"), "sets")
 
 
 def _rarity(stored: DataFrame, bits: int, tokens: int, n: int) -> np.ndarray:
@@ -298,9 +298,21 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     Exact: no candidate is capped or sampled. A null text or one without words has an empty set and
     links with nothing; a text of under five words is one shingle. Equal sets link whatever the order
     of their words. A row with a null doc_id links with nothing and is kept. Rows that repeat a doc_id
-    repeat its result. Other columns are ignored; an empty table gives no rows. The rows are stored; all
-    other tables are dropped.
+    and its text repeat its result; other texts under the same doc_id are compared as they are. Other
+    columns are ignored; an empty table gives no rows. The rows are stored; all other tables are dropped.
     """
+    return jaccard_rows(docs).drop("version")
+
+
+def unlike(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    gone = jaccard_rows(docs).where("not kept").select(F.col("doc_id").alias("gone__"), F.col("version").alias("version__")).distinct()
+    same = (docs["doc_id"].cast("long") == gone["gone__"]) & (F.xxhash64(docs["text"]) == gone["version__"])
+    return docs.join(gone, same, "left_anti").select(docs.columns)
+
+
+def jaccard_rows(docs: DataFrame) -> DataFrame:
+    """:func:`jaccard_groups` with the version (64-bit hash) of each row's text."""
     spark = docs.sparkSession
     done: list[Stored] = []
 
@@ -308,12 +320,14 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         done.append(Stored(df, name))
         return done[-1].df
 
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("version"))
     bits = sketch_bits(text_bytes(docs))
     done.append(_sets(docs, bits))
     stored = done[-1].df
-    sets = stored.where("kind = 0").select("doc_id", "n", "node")
-    reps = store(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")), "reps")
+    sets = stored.where("kind = 0").select("doc_id", "version", "n", "node")
+    first_row = F.min(F.struct("doc_id", "version")).alias("first")
+    reps = sets.where("node is not null and doc_id is not null").groupBy("node").agg(first_row, F.count("*").alias("docs"))
+    reps = store(reps.select("node", F.col("first.doc_id").alias("rep"), F.col("first.version").alias("version"), "docs"), "reps")
     tokens, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n = parts(spark, tokens / DEN, 500_000)
     rarity = _rarity(stored, bits, tokens, n)
@@ -324,8 +338,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     first = store(lists.where("kind = 0").select("a", "b").union(between).distinct(), "first")
     rest = lists.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "size", "pos")
     wanted = first.select(F.col("a").alias("node")).union(first.select("b")).union(rest.select("node")).distinct()
-    wanted = wanted.join(reps, "node").select("node", F.col("rep").alias("doc_id"))
-    found = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("node", "text")
+    wanted = wanted.join(reps, "node").select("node", F.col("rep").alias("doc_id"), "version")
+    found = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "version"]).select("node", "text")
     texts = store(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
     opens = first.select(F.col("a").alias("g"), F.col("b").alias("q"))
     leaders = opens.select("g").distinct().select("g", F.col("g").alias("x"))
@@ -364,10 +378,10 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     low = store(named.groupBy("g").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "low")
     named = store(join_hot(named, low, ["g"], rows).select("node", "component_id", F.col("docs").alias("n")), "named")
     known = join_hot(sets.where("node is not null").withColumnRenamed("n", "size"), named, ["node"], rows, "left")
-    known = known.select("doc_id", F.col("size").alias("n"), "component_id")
-    out = known.unionByName(sets.where("node is null").select("doc_id", "n", F.lit(None).cast("long").alias("component_id")))
+    known = known.select("doc_id", "version", F.col("size").alias("n"), "component_id")
+    out = known.unionByName(sets.where("node is null").select("doc_id", "version", "n", F.lit(None).cast("long").alias("component_id")))
     found_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), found_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "version", F.col("n").alias("n_shingles"), found_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     out = Stored(out, "classes").df
     for x in done:
         x.drop()

@@ -602,11 +602,15 @@ def repeated_ranges(docs: DataFrame, reduce: bool = True) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).where("doc_id is not null and text is not null")
     n = parts(spark, text_bytes(docs), 24e6)
-    done = [Stored(_classes(_anchors(docs, 4 * n, reduce), n, reduce), "ranges")]
-    rows = done[0].df
+    version = F.xxhash64("text")
+    several = Stored(docs.groupBy("doc_id").agg(F.min(version).alias("a"), F.max(version).alias("b")).where("a < b").select("doc_id"), "several")
+    if not several.df.isEmpty():
+        docs = docs.join(several.df, "doc_id", "left_anti")
+    done = [several, Stored(_classes(_anchors(docs, 4 * n, reduce), n, reduce), "ranges")]
+    rows = done[-1].df
     of = lambda df, kind: df.where(F.col("kind") == kind)
     done.append(Stored(_merged(_snippets(docs, of(rows, OPEN), 4 * n, False), of(rows, COPY), n), "merged"))
-    found = of(rows, REPEAT).select(F.col("key").alias("doc_id"), "ranges").union(done[1].df)
+    found = of(rows, REPEAT).select(F.col("key").alias("doc_id"), "ranges").union(done[-1].df)
     wide = of(rows, WIDE)
     if not wide.isEmpty():
         done.append(Stored(_classes(_windows(docs, wide, 4 * n), n, True), "windows"))
@@ -631,9 +635,9 @@ def suffix_digest(docs: DataFrame, reduce: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A null text is empty; a text under ``LENGTH`` bytes loses nothing. Rows with a null doc_id take no
-    part and lose nothing. Rows that repeat a doc_id are one document: they lose what earlier
-    documents, or an earlier place of either text, hold. Other columns are ignored; an empty table
-    gives no rows.
+    part and lose nothing, nor do those of a doc_id with several different texts, whose places would be
+    ambiguous. Rows that repeat a doc_id and its text are one document: they lose what earlier documents,
+    or an earlier place of the text, hold. Other columns are ignored; an empty table gives no rows.
     """
     gone = repeated_ranges(docs, reduce)
 

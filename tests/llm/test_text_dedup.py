@@ -130,6 +130,8 @@ def test_suffix_long_text_and_repeated_rows(spark, monkeypatch):
     assert got == {k: v[1] for k, v in brute_suffix(rows).items()}
     twice = suffix_dedup.suffix_digest(frame(spark, [(7, block), (7, block), (None, block)])).collect()
     assert sorted(r["n_removed"] for r in twice) == [0, 0, 0]
+    other = suffix_dedup.suffix_digest(frame(spark, [(6, block), (7, block), (7, block[::-1]), (8, block), (8, block)])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in other) == [(6, 0), (7, 0), (7, 0), (8, 900), (8, 900)]
 
 
 def _batch(keys, values):
@@ -230,6 +232,17 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_join.jaccard_groups(frame(spark, [])).count() == 0
 
 
+def test_jaccard_of_two_texts_under_one_id(spark):
+    """Each text is compared as it is, whichever row of its id comes first; only the copy's row goes."""
+    same, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(40))
+    near = other.replace("v39", "x")
+    docs = frame(spark, [(1, same), (5, other), (5, same), (7, near), (8, near), (5, other)])
+    out = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in jaccard_join.jaccard_groups(docs).collect())
+    assert out == [(1, 26, 1, True), (5, 26, 1, False), (5, 36, 5, True), (5, 36, 5, True), (7, 36, 5, False), (8, 36, 5, False)]
+    left = jaccard_join.unlike(docs)
+    assert left.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, same), (5, other), (5, other)]
+
+
 def brute_chunks(lines):
     """Boundaries from their definition, found from the end of the text by recursion."""
     import xxhash
