@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import materialize, table
-from strandlake.llm.jaccard_join import jaccard_groups
+from strandlake.llm.jaccard_join import unlike
 from strandlake.llm.line_dedup import cleaned
 from strandlake.llm.packing import pack
 from strandlake.llm.quality_classifier import keep_good
@@ -26,8 +26,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of similar ones."""
-    drop = jaccard_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    return unlike(docs)
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +43,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", suffixes), ("packing", packing)]
 
-#: No stage but packing could be said in SQL, and that needs the tokenizer: tested against a brute-force version.
+#: Packing needs the tokenizer and the first two stages are not SQL: tested against a plain version, stage by stage.
 ORACLE_SQL = None
 
 
