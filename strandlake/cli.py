@@ -31,7 +31,7 @@ def run_topk(spark: SparkSession, a: argparse.Namespace) -> dict:
     questions = jsonl.read_jsonl(spark, a.queries, "qid string, question string, title string, answers array<string>")
     q = jsonl.positions(jsonl.titled_questions(questions), "idx")
     corpus = jsonl.positions(jsonl.read_jsonl(spark, a.corpus, "text string"), "chunk_id")
-    x = rag.embed(corpus, make, "text").select(F.col("chunk_id").alias("id"), "v")
+    x = rag.embedded(corpus, make, a.cache)
     near = knn.knn(rag.embed(q, make, "text", True).select(F.col("idx").alias("qid"), "v"), x, a.k, a.metric)
     lists = knn.topk_lists(near).select(F.col("qid").alias("idx"), F.col("doc_ids").alias("top_k_doc_id"))
     return {"written": jsonl.write_jsonl(q.join(lists, "idx").orderBy("idx").select("qid", "text", "answer", "top_k_doc_id"), a.out)}
@@ -61,6 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     t.add_argument("--embeddings", required=True)
     t.add_argument("--k", type=int, default=20)
     t.add_argument("--metric", default="l2")
+    t.add_argument("--cache", help="path under which the corpus's vectors are kept for later runs")
     t.set_defaults(run=run_topk)
     q = sub.add_parser("qa", help="answers to prompts, scored against their labels")
     q.add_argument("--data-path", required=True)

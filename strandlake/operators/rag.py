@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from strandlake.functions import prompts
 from strandlake.functions.text import assistant_reply, marked_parts, sub_questions
 from strandlake.operators import reorder, tree
-from strandlake.operators.durable import checkpointed
+from strandlake.operators.durable import checkpointed, shared_path
 from strandlake.operators.knn import knn, topk_lists
 from strandlake.operators.records import ordered_texts
-from strandlake.sources.jsonl import upsert
+from strandlake.operators.vector_index import VectorIndex
+from strandlake.sources.jsonl import cached, upsert
 
 
 class ChatProvider(Protocol):
@@ -152,9 +153,13 @@ def embed(rows: DataFrame, make: Callable[[], EmbeddingProvider], text: str, is_
     return rows.withColumn("v", run.asNondeterministic()(text))
 
 
-def embedded(corpus: DataFrame, make: Callable[[], EmbeddingProvider]) -> DataFrame:
-    """Vectors (id, v) of a corpus (chunk_id, text), computed once and kept for all searches of a run."""
-    return checkpointed(embed(corpus.select("chunk_id", "text"), make, "text").select(F.col("chunk_id").alias("id"), "v"))
+def embedded(corpus: DataFrame, make: Callable[[], EmbeddingProvider], cache: str | None = None, **parameters) -> DataFrame:
+    """Vectors (id, v) of a corpus (chunk_id, text), computed once and kept for all searches of a run.
+
+    With ``cache`` they are kept for later runs as well, under a path that names the parameters.
+    """
+    vectors = embed(corpus.select("chunk_id", "text"), make, "text").select(F.col("chunk_id").alias("id"), "v")
+    return checkpointed(vectors) if cache is None else cached(corpus.sparkSession, cache, lambda: vectors, **parameters)
 
 
 def shuffled(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -163,27 +168,28 @@ def shuffled(docs: DataFrame, seed: int = 0) -> DataFrame:
     return docs.withColumn("docs", F.transform(F.array_sort(keyed), lambda d: F.struct(d["id"].alias("id"), d["text"].alias("text"))))
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int, make: Callable[[], EmbeddingProvider], metric: str = "l2", vectors: DataFrame | None = None) -> DataFrame:
-    """idx, question, docs of queries (idx, question) over a corpus (chunk_id, text) and its vectors."""
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int, make: Callable[[], EmbeddingProvider], metric: str = "l2", vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
+    """idx, question, docs of queries (idx, question) over a corpus (chunk_id, text) and its vectors or their index."""
     q = embed(queries.select(F.col("idx").alias("qid"), F.col("question")), make, "question", True).select("qid", "v")
     x = embedded(corpus, make) if vectors is None else vectors
-    lists = topk_lists(knn(q, x, k, metric)).withColumnRenamed("qid", "idx")
+    near = x.search(q, k, metric=metric) if isinstance(x, VectorIndex) else knn(q, x, k, metric)
+    lists = topk_lists(near).withColumnRenamed("qid", "idx")
     return queries.join(ordered_texts(lists, corpus), "idx")
 
 
-def rag(queries: DataFrame, corpus: DataFrame, k: int, embeddings: Callable[[], EmbeddingProvider], chat: Callable[[], ChatProvider], seed: int | None = None, max_new_tokens: int = 1024, vectors: DataFrame | None = None) -> DataFrame:
+def rag(queries: DataFrame, corpus: DataFrame, k: int, embeddings: Callable[[], EmbeddingProvider], chat: Callable[[], ChatProvider], seed: int | None = None, max_new_tokens: int = 1024, vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
     found = retrieve(queries, corpus, k, embeddings, vectors=vectors)
     found = found if seed is None else shuffled(found, seed)
     texts = F.transform("docs", lambda d: d["text"])
     return generate(found.withColumn("prompt", prompts.simple_rag(texts, F.col("question"))), chat, max_new_tokens=max_new_tokens)
 
 
-def rag_cot(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, vectors: DataFrame | None = None) -> DataFrame:
+def rag_cot(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
     """As :func:`rag`, with the question asked to be thought through step by step."""
     return rag(queries.withColumn("question", prompts.fill(prompts.SIMPLE_COT, F.col("question"))), corpus, k, embeddings, chat, vectors=vectors)
 
 
-def rat(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, paragraphs: int = 5, vectors: DataFrame | None = None) -> DataFrame:
+def rat(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, paragraphs: int = 5, vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
     """Draft, revise every part of it with new retrieval, summarise: idx, question, chain (revised parts), response, error.
 
     A part is searched by the question, the parts revised before it and itself; its prompt holds all that
@@ -220,14 +226,14 @@ def decompose(queries: DataFrame, chat) -> DataFrame:
     return asked.select("idx", "question", sub_questions(F.col("response")).alias("sub_questions"), "seconds")
 
 
-def short_answers(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, vectors: DataFrame | None = None) -> DataFrame:
+def short_answers(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
     """Retrieved texts in one line and an answer of a few words."""
     found = retrieve(queries, corpus, k, embeddings, vectors=vectors)
     texts = F.array_join(F.transform("docs", lambda d: d["text"]), ", ")
     return generate(found.withColumn("prompt", prompts.fill(prompts.SHORT_ANSWER, texts, F.col("question"))), chat)
 
 
-def cot_rag(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, vectors: DataFrame | None = None) -> DataFrame:
+def cot_rag(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, vectors: DataFrame | VectorIndex | None = None) -> DataFrame:
     """idx, question, chain, response, error, seconds: sub-questions answered in turn, each knowing those before, then the question.
 
     All queries advance together, one stage a sub-question, as many as the longest list has. A stage that
@@ -255,16 +261,21 @@ def cot_rag(queries: DataFrame, corpus: DataFrame, k: int, embeddings, chat, vec
 class Engine:
     """A corpus with its vectors and providers: embeds once, then answers any number of batches.
 
-    ``chunks`` (chunk_id, text) and ``vectors`` (id, v) are tables; :meth:`upsert` replaces texts by id.
+    ``chunks`` (chunk_id, text) and ``vectors`` (id, v) are tables, or ``vectors`` is their stored index;
+    :meth:`upsert` replaces texts by id.
     """
 
-    def __init__(self, corpus: DataFrame, embeddings: Callable[[], EmbeddingProvider], chat: Callable[[], ChatProvider], vectors: DataFrame | None = None):
+    def __init__(self, corpus: DataFrame, embeddings: Callable[[], EmbeddingProvider], chat: Callable[[], ChatProvider], vectors: DataFrame | VectorIndex | None = None, cache: str | None = None, **parameters):
         self.chunks, self.embeddings, self.provider = corpus.select("chunk_id", "text"), embeddings, chat
-        self.vectors = embedded(self.chunks, embeddings) if vectors is None else vectors
+        self.vectors = embedded(self.chunks, embeddings, cache, **parameters) if vectors is None else vectors
 
     def upsert(self, texts: DataFrame) -> None:
         new = texts.select("chunk_id", "text")
-        self.vectors = checkpointed(upsert(self.vectors, embed(new, self.embeddings, "text").select(F.col("chunk_id").alias("id"), "v"), "id"))
+        vectors = embed(new, self.embeddings, "text").select(F.col("chunk_id").alias("id"), "v")
+        if isinstance(self.vectors, VectorIndex):
+            self.vectors = self.vectors.upsert(vectors, shared_path(texts.sparkSession, "index"))
+        else:
+            self.vectors = checkpointed(upsert(self.vectors, vectors, "id"))
         self.chunks = checkpointed(upsert(self.chunks, new, "chunk_id"))
 
     def embed_queries(self, queries: DataFrame, max_length: int = 4096) -> DataFrame:

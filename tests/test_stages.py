@@ -78,6 +78,30 @@ def test_engine_embeds_once(spark):
     assert engine.embed_queries(q).where("size(v) = 16").count() == 2 and engine.chat(q.withColumn("prompt", F.col("question"))).count() == 2
 
 
+def test_engine_over_a_cache_and_an_index(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} word{i % 5}") for i in range(40)], "chunk_id long, text string")
+    q = spark.createDataFrame([(0, "text 3 word3"), (1, "text 21 word1")], "idx long, question string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted():
+        calls.add(1)
+        return rag.StubEmbedding()
+
+    for _ in range(2):
+        engine = rag.Engine(docs, counted, rag.StubChat, cache=str(tmp_path / "v"), dim=16)
+    assert calls.value > 0 and (tmp_path / "v_dim=16").exists()
+    before = calls.value
+    rag.Engine(docs, counted, rag.StubChat, cache=str(tmp_path / "v"), dim=16)
+    assert calls.value == before
+    exact = {r["idx"]: [d["id"] for d in r["docs"]] for r in engine.search(q, 3).collect()}
+    index = vector_index.VectorIndex.build(engine.vectors, str(tmp_path / "i"), lists=4)
+    indexed = rag.Engine(docs, rag.StubEmbedding, rag.StubChat, index)
+    assert {r["idx"]: [d["id"] for d in r["docs"]] for r in indexed.search(q, 3).collect()} == exact and exact[0][0] == 3
+    indexed.upsert(spark.createDataFrame([(77, "text 3 word3"), (3, "gone")], "chunk_id long, text string"))
+    assert {r["idx"]: r["docs"][0]["id"] for r in indexed.search(q, 1).collect()} == {0: 77, 1: 21}
+    assert indexed.rat(q, 2).where("error is null").count() == 2
+
+
 class Picky:
     def chat(self, asked, max_new_tokens=1024):
         def one(p):
