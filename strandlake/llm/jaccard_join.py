@@ -314,16 +314,21 @@ def unlike(docs: DataFrame) -> DataFrame:
 def jaccard_rows(docs: DataFrame) -> DataFrame:
     """:func:`jaccard_groups` with the version (64-bit hash) of each row's text."""
     spark = docs.sparkSession
-    done: list[Stored] = []
+    done: dict[str, Stored] = {}
 
     def store(df: DataFrame, name: str) -> DataFrame:
-        done.append(Stored(df, name))
-        return done[-1].df
+        done[name] = Stored(df, name)
+        return done[name].df
+
+    def drop(*names: str) -> None:
+        """Tables whose readers have all been stored themselves."""
+        for x in names:
+            done.pop(x).drop()
 
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("version"))
     bits = sketch_bits(text_bytes(docs))
-    done.append(_sets(docs, bits))
-    stored = done[-1].df
+    done["sets"] = _sets(docs, bits)
+    stored = done["sets"].df
     sets = stored.where("kind = 0").select("doc_id", "version", "n", "node")
     first_row = F.min(F.struct("doc_id", "version")).alias("first")
     reps = sets.where("node is not null and doc_id is not null").groupBy("node").agg(first_row, F.count("*").alias("docs"))
@@ -344,6 +349,7 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     opens = first.select(F.col("a").alias("g"), F.col("b").alias("q"))
     leaders = opens.select("g").distinct().select("g", F.col("g").alias("x"))
     labels = store(components(store(_compared(opens, leaders, texts, n), "links")), "labels")
+    drop("links")
 
     # Groups: components so far; a node without one goes to the group of its smallest leader.
     home = opens.groupBy(F.col("q").alias("node")).agg(F.min("g").alias("home"))
@@ -352,11 +358,13 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     group = group.select("node", F.coalesce("component", "node").alias("label"), F.coalesce("component", "of_home", "home", "node").alias("g"))
     group = store(group, "grouped")
     member = store(rest.join(group, "node"), "entries")
+    drop("lists", "first")
     several = member.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     several = store(several.where("lo < hi").select("token", "n"), "several")
     groups = labels
     if not several.isEmpty():
         member = store(join_hot(member, several, ["token"], member.count()), "matrix")
+        drop("entries", "several")
         tail = F.col("size") - F.col("pos") - 1
         bounds = {"least": F.min("size"), "most": F.max("size"), "far": F.max("pos"), "tail": F.max(tail), "lo": F.min("label"), "hi": F.max("label")}
         # a token of many entries meets its part of the matrix in several tasks
@@ -370,8 +378,10 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
         needed = F.ceil(NUM * (F.col("qn") + F.greatest(F.col("least"), NUM * F.col("qn") / DEN)) / (NUM + DEN) - F.lit(1e-6))
         opened = query.join(matrix, ["token", "part"]).where((F.col("g") <= F.col("qg")) & fits & other & (bound >= needed)).select("g", "q").distinct()
         opened = store(opened, "opened")
+        drop("matrix")
         inside = store(group.select("g", F.col("node").alias("x")).join(opened.select("g").distinct(), "g"), "inside")
         more = store(_compared(opened, inside, texts, n), "more")
+        drop("texts", "opened", "inside", "grouped")
         if not more.isEmpty():
             groups = components(more.union(labels.select("node", "component")))
     named = store(reps.join(groups, "node", "left").select("node", "rep", "docs", F.coalesce("component", "node").alias("g")), "members")
@@ -383,6 +393,5 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     found_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "version", F.col("n").alias("n_shingles"), found_id.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     out = Stored(out, "classes").df
-    for x in done:
-        x.drop()
+    drop(*done)
     return out
