@@ -400,3 +400,38 @@ def test_prepared_nodes(spark):
     got = {r["node_id"]: r for r in placement.prepared(spark.createDataFrame(rows, "node_id long, size int, parent long, frequency long")).collect()}
     assert got[3]["path"] == [3, 2, 1] and got[1]["path"] == [1] and [got[k]["is_leaf"] for k in (1, 2, 3)] == [False, False, True]
     assert got[2]["bytes"] == 4 * costs.BLOCK_BYTES
+
+
+@pytest.mark.parametrize("method", tree.BOUNDED)
+def test_linkage_without_the_matrix(method, monkeypatch):
+    """The same merges, also when hardly a row is kept, in less memory than the matrix."""
+    import random
+    import tracemalloc
+
+    from strandlake.operators import linkage
+
+    rnd = random.Random(3)
+    scaled = lambda x: 1 - tree.similarity(x, "sharp")
+    for n, ids, most, kept in ((1, 5, 2, 1), (30, 8, 4, 1), (150, 40, 25, 5_000), (200, 9_000, 6, 40_000), (150, 20, 3, 1 << 20)):
+        monkeypatch.setattr(linkage, "KEPT_BYTES", kept)
+        sets = [frozenset(rnd.sample(range(ids), rnd.randrange(1, most + 1))) for _ in range(n)]
+        for wide in (None, 3):
+            assert list(linkage.merges(sets, scaled, method, wide)) == tree.linkage(scaled(tree.overlaps(sets)), method)
+    monkeypatch.setattr(linkage, "KEPT_BYTES", 1 << 20)
+    sets = [frozenset(rnd.sample(range(40), 25)) for _ in range(1_200)]
+    tracemalloc.start()
+    got = sum(1 for _ in zip(range(300), tree.linked_sets(sets, "sharp", method)))
+    assert got == 300 and tracemalloc.get_traced_memory()[1] < 8 * len(sets) ** 2
+    tracemalloc.stop()
+
+
+def test_large_components_give_the_same_nodes(spark, monkeypatch):
+    """Nodes of trees and dendrograms do not depend on how their merges were found or batched."""
+    import random
+
+    rnd = random.Random(8)
+    rows = spark.createDataFrame([(i, rnd.sample(range(12), rnd.randrange(1, 6))) for i in range(60)], "idx long, doc_ids array<long>")
+    whole = [sorted(map(str, f.collect())) for f in (tree.shared_tree(rows), tree.dendrogram(rows, "square", "single"))]
+    monkeypatch.setattr(tree, "MATRIX", 1)
+    monkeypatch.setattr(tree, "BATCH_IDS", 50)
+    assert [sorted(map(str, f.collect())) for f in (tree.shared_tree(rows), tree.dendrogram(rows, "square", "single"))] == whole
