@@ -458,3 +458,11 @@ def test_closest_does_not_pair_all_holders_of_an_id(spark, monkeypatch):
     far = lambda a, b: round(max(0.0, 1 - float(tree.similarity(np.array(len(a & b) / max(len(a), len(b))), "sharp"))), 9) if a and b else 1.0
     want = [(i, *min((far(set(a), set(b)), j) for j, b in enumerate(sets))) for i, a in enumerate(lists)]
     assert sorted((r["idx"], r["dist"], r["node_id"]) for r in overlap.closest(frame(lists), nodes(sets)).collect()) == want
+
+
+def test_pairs_are_counted_where_they_meet(spark):
+    rows = spark.createDataFrame([(i, [i % 3, i % 4, 9]) for i in range(20)], "idx long, doc_ids array<long>")
+    pairs = overlap.pair_overlap(rows)
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    sets = [{i % 3, i % 4, 9} for i in range(20)]
+    assert sorted((r["i"], r["j"], r["same_items"]) for r in pairs.collect()) == [(i, j, len(sets[i] & sets[j])) for i in range(20) for j in range(i + 1, 20)]
