@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 BLOCK = 8192
 #: Queries whose distances are held at a time.
 ROWS = 64
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 16 << 20
+#: Numbers of vectors and of distances that are worked on at a time.
+SLICE = 1 << 18
 
 
 def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -31,15 +33,21 @@ def nearest_rows(k: int, metric: str, digits: int):
         if not len(ids) or not len(keys):
             return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
         v, x = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (a, b))
+        step = max(1, SLICE // max(ROWS, x.shape[1]))
         rows = []
         for lo in range(0, len(keys), ROWS):
-            d = np.round(distances(v[lo : lo + ROWS], x, metric), digits) + 0.0  # no negative zero
-            for key, row in zip(keys[lo : lo + ROWS], d, strict=True):
-                # all ties of the k-th, of which the smaller ids stay
-                last = np.partition(row, k - 1)[k - 1] if 0 < k < len(row) else np.nan
-                near = np.arange(len(row)) if np.isnan(last) else np.flatnonzero(row <= last)
-                near = near[np.lexsort((ids[near], row[near]))[:k]]
-                rows.append((np.repeat(key, len(near)), ids[near], row[near]))
+            some = keys[lo : lo + ROWS]
+            best = [(ids[:0], np.empty(0))] * len(some)
+            for at in range(0, len(x), step):
+                d = np.round(distances(v[lo : lo + ROWS], x[at : at + step], metric), digits) + 0.0  # no negative zero
+                for i, row in enumerate(d):
+                    who, row = np.concatenate([best[i][0], ids[at : at + step]]), np.concatenate([best[i][1], row])
+                    # all ties of the k-th, of which the smaller ids stay
+                    last = np.partition(row, k - 1)[k - 1] if 0 < k < len(row) else np.nan
+                    near = np.arange(len(row)) if np.isnan(last) else np.flatnonzero(row <= last)
+                    near = near[np.lexsort((who[near], row[near]))[:k]]
+                    best[i] = who[near], row[near]
+            rows += [(np.repeat(key, len(who)), who, row) for key, (who, row) in zip(some, best, strict=True)]
         key, who, dist = (np.concatenate(c) for c in zip(*rows, strict=True))
         return pa.table({"qid": pa.array(key, pa.int64()), "id": pa.array(who, pa.int64()), "dist": pa.array(dist, pa.float64())})
 

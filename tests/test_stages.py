@@ -437,6 +437,28 @@ def test_large_components_give_the_same_nodes(spark, monkeypatch):
     assert [sorted(map(str, f.collect())) for f in (tree.shared_tree(rows), tree.dendrogram(rows, "square", "single"))] == whole
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_nearest_rows_in_slices(metric, monkeypatch):
+    """Distances are worked out slice by slice: the same neighbours, and memory that the vectors' number does not set."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    table = lambda keys, v: pa.table({"key": pa.array(keys, pa.int64()), "v": pa.array(list(v), pa.list_(pa.float64()))})
+    rng = np.random.default_rng(2)
+    q, x = rng.integers(1, 4, (70, 4)).astype(float), rng.integers(1, 4, (5_000, 4)).astype(float)
+    a, b = table(np.arange(70), q), table(rng.permutation(5_000), x)
+    find = knn.nearest_rows(3, metric, 9)
+    tracemalloc.start()
+    monkeypatch.setattr(knn, "SLICE", 1 << 13)
+    got = find(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 8 * knn.ROWS * len(x) / 2
+    tracemalloc.stop()
+    d, ids = np.round(knn.distances(q, x, metric), 9) + 0.0, b.column("key").to_numpy()
+    want = [(i, int(ids[j]), d[i, j]) for i in range(70) for j in sorted(range(5_000), key=lambda j: (d[i, j], ids[j]))[:3]]
+    assert list(zip(*(got.column(c).to_pylist() for c in ("qid", "id", "dist")), strict=True)) == want
+
+
 def test_closest_does_not_pair_all_holders_of_an_id(spark, monkeypatch):
     """An id in every list is no reason to meet every node; long lists and nodes give what a plain search gives."""
     met, join = [], overlap.shared_ids
