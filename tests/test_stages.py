@@ -426,15 +426,22 @@ def test_linkage_without_the_matrix(method, monkeypatch):
 
 
 def test_large_components_give_the_same_nodes(spark, monkeypatch):
-    """Nodes of trees and dendrograms do not depend on how their merges were found or batched."""
+    """Nodes of trees and dendrograms do not depend on how their merges were found."""
     import random
 
     rnd = random.Random(8)
-    rows = spark.createDataFrame([(i, rnd.sample(range(12), rnd.randrange(1, 6))) for i in range(60)], "idx long, doc_ids array<long>")
-    whole = [sorted(map(str, f.collect())) for f in (tree.shared_tree(rows), tree.dendrogram(rows, "square", "single"))]
+    sets = [frozenset(rnd.sample(range(12), rnd.randrange(1, 6))) for _ in range(tree.MATRIX + 20)]
+    nodes = {n["node_id"]: n for n in tree.dendrogram(spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "idx long, doc_ids array<long>"), "square", "single").collect()}
+    below, want = [[i] for i in range(len(sets))], []
+    for left, right, dist, _ in tree.linkage(1 - tree.similarity(tree.overlaps(sets), "square"), "single"):
+        below.append(sorted(below[left] + below[right]))
+        content = frozenset.intersection(*(sets[i] for i in below[-1]))
+        want.append((below[-1], sorted(content), sum(sets[i] == content for i in below[-1]), dist))
+    assert sorted((n["original_indices"], n["content"], n["frequency"], n["distance"]) for n in nodes.values() if not n["is_query"]) == sorted(want)
+    few = list(dict.fromkeys(sets))[:80]
+    built = [tree.build(few, list(range(80)), [[i] for i in range(80)], "sharp", "average")]
     monkeypatch.setattr(tree, "MATRIX", 1)
-    monkeypatch.setattr(tree, "BATCH_IDS", 50)
-    assert [sorted(map(str, f.collect())) for f in (tree.shared_tree(rows), tree.dendrogram(rows, "square", "single"))] == whole
+    assert [tree.build(few, list(range(80)), [[i] for i in range(80)], "sharp", "average")] == built
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
