@@ -14,10 +14,20 @@ DIGITS = 4300
 SENTENCE = r"(?<=\.)\s*(?=[A-Z]|\n)"
 
 
+def spaced(s: Column) -> Column:
+    """Lower case, without ASCII punctuation, a blank for any run of white space.
+
+    A split by a pattern compiles it for every row, a replacement once; single blanks are left as they are.
+    """
+    return F.regexp_replace(F.regexp_replace(F.lower(s), PUNCTUATION, ""), r"(?U)\s{2,}|[^\S ]", " ")
+
+
 def answer_tokens(s: Column) -> Column:
     """Lower-case words without ASCII punctuation and articles."""
-    words = F.split(F.regexp_replace(F.lower(s), PUNCTUATION, ""), r"(?U)\s+")
-    return F.filter(words, lambda w: ~w.isin("", *ARTICLES))
+    words = F.split(spaced(s), " ")
+    for w in ("", *ARTICLES):
+        words = F.array_remove(words, w)
+    return words
 
 
 def normalize_answer(s: Column) -> Column:
@@ -26,8 +36,7 @@ def normalize_answer(s: Column) -> Column:
 
 def normalize_evidence(s: Column) -> Column:
     """As an answer, but articles stay."""
-    words = F.split(F.regexp_replace(F.lower(s), PUNCTUATION, ""), r"(?U)\s+")
-    return F.array_join(F.filter(words, lambda w: w != ""), " ")
+    return F.trim(spaced(s))
 
 
 def strip(s: Column) -> Column:

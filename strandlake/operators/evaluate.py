@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.metrics import CLOSED, evidence, joint, overlap_scores, supporting_facts
+from strandlake.functions.metrics import CLOSED, best_answer, joint, match_scores, overlap_scores, supporting_facts
 from strandlake.functions.similarity import multiset_overlap
 from strandlake.functions.text import after_thinking, answer_tokens, normalize_evidence
+from strandlake.operators.durable import stored
+
+METRICS = ("em", "f1", "precision", "recall")
 
 
 def answer_rows(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
@@ -52,31 +55,49 @@ def evaluation(gold: DataFrame, answers: DataFrame, facts: DataFrame, evidences:
     prediction counts 0 in its part and in the joint metrics; means are over all gold rows. Evidence ids
     that do not fit their evidences are an error.
     """
+    said = lambda d, name: d.select("_id", F.col("pred").alias(name))
+    rows = gold.join(said(answers, "answer_pred"), "_id", "left").join(said(facts, "sp_pred"), "_id", "left").join(said(evidences, "evi_pred"), "_id", "left")
+    return evaluate_rows(rows, aliases)
+
+
+def evaluate_rows(d: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The same of golds that have their predictions beside them: answer_pred, sp_pred and evi_pred, null if missing.
+
+    A gold stays one row until it is cut into triples, once, and these meet where their gold was: rows dealt by _id
+    are not dealt again unless names are too many to broadcast.
+    """
+    key = lambda x: F.coalesce(normalize_evidence(x), F.lit("\x01"))
+    d = d.withColumn("row", F.monotonically_increasing_id())
+    # Names are looked up in a table of known size: broadcast if small, so few hot ids do not gather all triples.
     names = aliases.groupBy("Q_id").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
-    nothing = F.array().cast("array<string>")
-    named = gold.select("_id", "answer", F.col("answer_id").alias("Q_id")).join(names, "Q_id", "left")
-    pairs = named.join(answers, "_id").select("_id", "pred", F.explode(F.array_union(F.array("answer"), F.coalesce("names", nothing))).alias("gold"))
-    one = best_of_golds(pairs, "_id").select("_id", F.struct("em", "f1", "precision", "recall").alias("answer"))
+    names = stored(names.withColumn("keys", F.transform("names", key)), "names")
+    other = lambda d, id_, c, out: d.join(names.select(F.col("Q_id").alias(id_), F.col(c).alias(out)), id_, "left")
 
-    pair = lambda xs: F.transform(xs, lambda x: F.struct(x[0].alias("title"), x[1].alias("sent")))
-    two = gold.select("_id", "supporting_facts").join(facts, "_id").select("_id", supporting_facts(pair(F.col("pred")), pair(F.col("supporting_facts"))).alias("sp"))
+    d = other(d, "answer_id", "names", "more").withColumn("p", answer_tokens(F.col("answer_pred")))
+    alike = F.array_union(F.array("answer"), F.coalesce("more", F.array().cast("array<string>")))
+    d = d.withColumns({"one": best_answer(F.col("p"), alike), "two": supporting_facts(F.col("sp_pred"), F.col("supporting_facts"), 0, 1)})
 
     ids = F.coalesce("evidences_id", F.array().cast("array<array<string>>"))
-    fits = (F.size(ids) == 0) | ((F.size(ids) == F.size("evidences")) & F.forall(F.arrays_zip(ids.alias("i"), F.col("evidences").alias("e")), lambda z: z["i"][1] == z["e"][1]))
-    checked = gold.select("_id", F.when(fits, F.col("evidences")).otherwise(F.raise_error(F.lit("evidence ids do not fit their evidences")).cast("array<array<string>>")).alias("evidences"), ids.alias("ids"))
-    triples = checked.select("_id", "ids", F.posexplode("evidences").alias("pos", "t")).withColumn("i", F.get("ids", F.col("pos")))
-    other = lambda key, out: names.select(F.col("Q_id").alias(key), F.col("names").alias(out))
-    triples = triples.select("_id", "pos", "t", F.col("i")[0].alias("s_id"), F.col("i")[2].alias("o_id"))
-    triples = triples.join(other("s_id", "s"), "s_id", "left").join(other("o_id", "o"), "o_id", "left")
-    key = lambda a, b, c: F.concat_ws("\x01", *[normalize_evidence(x) for x in (a, b, c)])
-    ends = lambda at, more: F.array_union(F.array(F.col("t")[at]), F.coalesce(more, nothing))
-    product = F.flatten(F.transform(ends(0, "s"), lambda a: F.transform(ends(2, "o"), lambda b: key(a, F.col("t")[1], b))))
-    golds = triples.select("_id", product.alias("keys")).groupBy("_id").agg(F.collect_list("keys").alias("golds"))
-    pred = F.transform("pred", lambda t: key(t[0], t[1], t[2]))
-    none = F.array().cast("array<array<string>>")
-    three = gold.select("_id").join(evidences, "_id").join(golds, "_id", "left").select("_id", evidence(pred, F.coalesce("golds", none)).alias("evi"))
-
-    j = gold.select("_id").join(one, "_id", "left").join(two, "_id", "left").join(three, "_id", "left")
+    fits = lambda ok, c: F.when(ok, F.col(c)).otherwise(F.raise_error(F.lit("evidence ids do not fit their evidences")))
+    checked = fits((F.size(ids) == 0) | (F.size(ids) == F.size("evidences")), "evidences")
+    distinct = F.array_distinct(F.transform("evi_pred", lambda t: F.struct(key(t[0]).alias("s"), key(t[1]).alias("r"), key(t[2]).alias("o"))))
+    found = F.transform(distinct, lambda t, k: F.struct(t["s"].alias("s"), t["r"].alias("r"), t["o"].alias("o"), k.alias("k")))
+    scores = [F.col(part)[m].alias(f"{part}_{m}") for part in ("one", "two") for m in METRICS]
+    d = d.select("_id", "row", *scores, checked.alias("evidences"), ids.alias("ids"), found.alias("found"))
+    kept = [f"{part}_{m}" for part in ("one", "two") for m in METRICS] + ["n", "m"]
+    d = d.withColumns({"n": F.array_size("found"), "m": F.coalesce(F.array_size("evidences"), F.lit(0))})
+    d = d.select("_id", "row", *kept, "ids", "found", F.posexplode_outer("evidences").alias("pos", "t")).withColumn("i", F.get("ids", F.col("pos")))
+    d = d.withColumn("t", fits((F.size("ids") == 0) | (F.col("i")[1] == F.col("t")[1]), "t"))
+    d = d.select("_id", "row", *kept, "found", *[F.when(F.col("pos").isNotNull(), key(F.col("t")[i])).alias(c) for i, c in enumerate("sro")], F.col("i")[0].alias("s_id"), F.col("i")[2].alias("o_id"))
+    d = other(other(d, "s_id", "keys", "s_more"), "o_id", "keys", "o_more")
+    named = lambda x, c: (x[c] == F.col(c)) | F.array_contains(f"{c}_more", x[c])
+    hits = F.transform(F.filter("found", lambda x: (x["r"] == F.col("r")) & named(x, "s") & named(x, "o")), lambda x: x["k"])
+    d = d.select("_id", "row", *kept, F.explode_outer(hits).alias("hit"))
+    # A prediction counts once, however many triples it fits.
+    d = d.groupBy("_id", "row").agg(F.countDistinct("hit").alias("tp"), *[F.first(c).alias(c) for c in kept])
+
+    whole = lambda part: F.struct(*[F.col(f"{part}_{m}").alias(m) for m in METRICS])
+    j = d.select(whole("one").alias("answer"), whole("two").alias("sp"), F.when(F.col("n").isNotNull(), match_scores(F.col("tp"), F.col("n"), F.col("m"))).alias("evi"))
     j = j.withColumn("joint", joint(F.col("answer"), F.col("sp"), F.col("evi")))
     mean = lambda part, m: F.round(100 * F.sum(F.coalesce(F.col(part)[m], F.lit(0.0))) / F.count("*"), 2)
     short = {"em": "em", "f1": "f1", "precision": "prec", "recall": "recall"}

@@ -7,7 +7,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strandlake import cli
+from strandlake.functions import text
 from strandlake.operators import evaluate, rag, tree
+from strandlake.plans.catalog import QUERIES
 
 
 def files(at, ids):
@@ -35,6 +37,45 @@ def test_eval_refuses_ids_that_do_not_fit(spark, tmp_path):
         cli.main(files(tmp_path, ["Q2", "other", "Q1"]), spark)
 
 
+def test_eval_counts_each_gold(spark, tmp_path):
+    """A gold that is listed twice counts twice, and a prediction once, though it fits two triples; names may be many."""
+    gold = spark.createDataFrame(
+        [("a", "x", None, [["T", "0"]], [["p", "r", "q"], ["P.", "r", "q"]], [["Q1", "r", "Q2"]] * 2)] * 2 + [("b", "y", "Q1", [], [["u", "r", "v"]], [])],
+        "_id string, answer string, answer_id string, supporting_facts array<array<string>>, evidences array<array<string>>, evidences_id array<array<string>>",
+    )
+    answers = spark.createDataFrame([("a", "x"), ("b", "the Alias")], "_id string, pred string")
+    facts = spark.createDataFrame([("a", [["t", "0"]])], "_id string, pred array<array<string>>")
+    evidences = spark.createDataFrame([("a", [["alias", "r", "Q"], ["p", "r", "other"], ["p", "s", "q"]])], "_id string, pred array<array<string>>")
+    names = spark.createDataFrame([("Q1", ["alias"]), ("Q2", ["else", "Other!"])], "Q_id string, names array<string>")
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = evaluate.evaluation(gold, answers, facts, evidences, names).first()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert (got["em"], got["sp_em"], got["evi_prec"], got["evi_recall"]) == (100, 66.67, 44.44, 66.67), limit
+        assert (got["joint_em"], got["joint_prec"], got["joint_recall"]) == (0, 44.44, 66.67), limit
+
+
+def test_evaluation_deals_lines_once(spark):
+    """Few alias ids name all triples: dealt by id, they would go to as many tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        plan = QUERIES["evaluation"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(s_id" not in plan and "hashpartitioning(o_id" not in plan
+    assert plan.count("hashpartitioning(") == 2 and plan.count("lineitem.parquet") == 1
+
+
+def test_odd_white_space(spark):
+    rows = ["", " ", "a", "The  cat.\tsat", "x\u00a0y", " \u2003an  A-b\n", "\u3000 \x85z\x1f!", "q\r\n , w ", ". a . b", "\u0130 x"]
+    got = spark.createDataFrame([(r,) for r in [*rows, None]], "s string").select("s", text.normalize_evidence(F.col("s")).alias("e"), text.answer_tokens(F.col("s")).alias("t"), F.filter(F.split(F.regexp_replace(F.lower("s"), text.PUNCTUATION, ""), r"(?U)\s+"), lambda w: w != "").alias("w")).collect()
+    for r in got:
+        assert r["e"] == (" ".join(r["w"]) if r["w"] is not None else None), r
+        assert r["t"] == ([w for w in r["w"] if w not in text.ARTICLES] if r["w"] is not None else None), r
+
+
 def test_label_sets(spark):
     rows = [("x</think>\n\nyes", ["no", "Yes"]), ("a b", ["b"]), ("lost", []), (None, ["q"])]
     got = evaluate.label_set_means(spark.createDataFrame(rows, "answer string, labels array<string>")).first()
