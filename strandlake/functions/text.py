@@ -24,10 +24,7 @@ def spaced(s: Column) -> Column:
 
 def answer_tokens(s: Column) -> Column:
     """Lower-case words without ASCII punctuation and articles."""
-    words = F.split(spaced(s), " ")
-    for w in ("", *ARTICLES):
-        words = F.array_remove(words, w)
-    return words
+    return F.filter(F.split(spaced(s), " "), lambda w: ~w.isin("", *ARTICLES))
 
 
 def normalize_answer(s: Column) -> Column:
